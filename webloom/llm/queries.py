@@ -41,12 +41,24 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"))
 
 
+def op7_agenda_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webloom.llm.pieces import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webloom.llm.media import media_columns
 
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webloom.llm.pieces import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
