@@ -22,6 +22,12 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op3_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webloom.llm.classifier import classified
+
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webloom.llm.packing import packed
 
@@ -47,6 +53,12 @@ def op7_agenda_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webloom.llm.quality_rules import judged
+
+    return judged(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webloom.llm.media import media_columns
 
