@@ -16,6 +16,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webloom.llm.substring_dedup import digested
+
+    return digested(table(spark, sf_dir, "documents"), length=50, extend=True)
+
+
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webloom.llm.sharding import sharded
 
