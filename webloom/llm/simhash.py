@@ -118,3 +118,17 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, bucket: int = 64) -> Data
     named = saved(linked.groupBy("label").agg(F.min("first").alias("component_id")), "names")
     of = saved(linked.join(named, "label").select("fp", "component_id"), "components")
     return prints.join(of, "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, bucket: int = 64) -> DataFrame:
+    """One row of ``docs`` for each component, that of its smallest doc_id; of rows with that id, one.
+
+    Rows without a doc_id are kept: nothing says which of them is first. Columns stay as they were.
+    """
+    found = saved(clustered(docs, shingle, bucket), "clusters")
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    own = f"c{names.index('doc_id')}"
+    kept = plain.join(first, F.col(own).cast("long") == first["doc_id"], "left_semi").dropDuplicates([own])
+    return kept.union(plain.where(F.col(own).isNull())).toDF(*names)
