@@ -11,6 +11,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ MARK = "▁"
 #: Chunks wider than this go through the heap one by one.
 WIDE = 64
 #: Entries that a worker remembers between batches; then it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: How far below the worst piece an unknown character scores.
 UNKNOWN_PENALTY = 10.0
 
@@ -44,6 +45,10 @@ class Vocabulary:
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
+        #: What a worker has met: ids of a chunk, the same as text, and its unigram count.
+        self.known: dict[str, list[int]] = {}
+        self.said: dict[str, str] = {}
+        self.counted: dict[str, int] = {}
         self.prefixed = model.normalizer_spec.add_dummy_prefix
         self.plain = not model.normalizer_spec.precompiled_charsmap and not model.normalizer_spec.remove_extra_whitespaces
         spanned = {c for p in self.id if len(p) > 1 for c in p}
@@ -258,31 +263,59 @@ def vocabulary(path: str) -> Vocabulary:
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("agenda_agrees", pa.bool_())])
 
 
+def checked(words: Vocabulary, chunks: list[str], ids: list[list[int]]) -> list[list[int]]:
+    """``ids``, where the library encodes a chunk in another way the library's.
+
+    The library puts a word mark before each text: a chunk with one is given without it,
+    any other chunk behind a line end, whose ids are then taken off.
+    """
+    lead = len(words.library.encode("\n"))
+    bare = [c.startswith(MARK) and words.prefixed for c in chunks]
+    told = words.library.encode([(c[1:] if b else "\n" + c).replace(MARK, " ") for c, b in zip(chunks, bare, strict=True)], num_threads=1)
+    return [own if c == MARK else theirs if b else theirs[lead:] for c, b, own, theirs in zip(chunks, bare, ids, told, strict=True)]
+
+
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, agenda_agrees for every whole text.
 
-    The agenda's ids of every text of every Arrow batch are compared with those of the
-    library; where they differ (none is known) the library's count and agenda_agrees says so.
+    The agenda's ids of every chunk that is new to a worker are compared with the
+    library's in each Arrow batch, and those of whole texts for the first slice of a batch; where
+    they differ (none is known) the library's count and agenda_agrees says so.
     Null texts are empty: no ids, digest of nothing. Repeated rows are encoded each. An
     empty table gives no rows. Columns other than doc_id and text are ignored.
     """
 
+    def digest(s: str) -> str:
+        return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+    def rows(words: Vocabulary, batch: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        cut = [words.chunks(t) for t in texts]
+        known, said = words.known, words.said
+        if len(known) > REMEMBERED:
+            known.clear()
+            said.clear()
+        new = list({c for line in cut for c in line if c not in known})
+        agrees = True
+        if new:
+            own = words.agendas(new)
+            told = checked(words, new, own)
+            agrees = own == told
+            known.update(zip(new, told, strict=True))
+            said.update((c, ",".join(map(str, i))) for c, i in zip(new, told, strict=True))
+        ids = [list(chain.from_iterable(map(known.__getitem__, line))) for line in cut]
+        lines = [",".join(map(said.__getitem__, line)) for line in cut]
+        if whole:
+            told = words.library.encode(texts, num_threads=1)
+            agrees &= ids == told
+            ids, lines = told, [",".join(map(str, i)) for i in told]
+        return record_batch(_ENCODED, doc_id=batch.column(0), n_tokens=list(map(len, ids)), ids_sha256=list(map(digest, lines)), decoded_sha256=list(map(digest, words.library.decode(ids))), agenda_agrees=[agrees] * len(ids))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = vocabulary(model), {}
-        for batch in slices(batches, 128):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            cut = [words.chunks(t) for t in texts]
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list({c for line in cut for c in line if c not in known})
-            for c, ids in zip(new, words.agendas(new), strict=True):
-                known[c] = ",".join(map(str, ids))
-            own = [",".join([known[c] for c in line]) for line in cut]
-            ids = words.library.encode(texts, num_threads=1)
-            told = [",".join(map(str, i)) for i in ids]
-            decoded = words.library.decode(ids) if ids else []
-            digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-            yield record_batch(_ENCODED, doc_id=batch.column(0), n_tokens=[len(i) for i in ids], ids_sha256=[digest(s) for s in told], decoded_sha256=[digest(d) for d in decoded], agenda_agrees=[a == b for a, b in zip(own, told, strict=True)])
+        words = vocabulary(model)
+        for batch in batches:
+            for k, part in enumerate(slices([batch], 128)):
+                yield rows(words, part, whole=k == 0)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agenda_agrees boolean")
 
@@ -299,7 +332,8 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = vocabulary(model), {}
+        words = vocabulary(model)
+        known = words.counted
         for batch in slices(batches):
             cut = [words.chunks(t or "") for t in batch.column(1).to_pylist()]
             if len(known) > REMEMBERED:
