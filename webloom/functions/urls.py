@@ -224,3 +224,33 @@ def clean_discovered(raw: Column, base: Column) -> Column:
     text = unescaped(raw)
     whole = F.when(text.rlike("^https?://"), text).when(text != "", resolve_js(base, text))
     return F.when(whole.rlike("^https?://"), whole)
+
+
+# ---------------------------------------------------------------- resolving (column expressions)
+
+
+def without_dots(raw_path: Column) -> Column:
+    """Path with . and .. segments resolved, as RFC 3986 asks; folded over the segments inside the JVM."""
+    steps = F.split(raw_path, "/", -1)
+    kept = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.least(F.size(acc), F.lit(1))))).otherwise(F.array_append(acc, s)),
+    )
+    return F.concat(F.array_join(kept, "/"), F.when(raw_path.rlike(r"(^|/)\.\.?$") & (F.size(kept) > 0) & (F.element_at(kept, -1) != ""), "/").otherwise(""))
+
+
+def joined(base: Column, ref: Column) -> Column:
+    """``ref`` against ``base`` without fragment, for http(s) references and paths (U2, no Python)."""
+    home = F.concat(part(base, 1), F.lit("://"), part(base, 2))
+    asked = F.regexp_extract(ref, r"(\?[^#]*)", 1)
+    folder = F.regexp_replace(path(base), r"[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    below = F.concat(home, without_dots(F.concat(folder, path(ref))), asked)
+    return (
+        F.when(ref.isNull() | (ref == ""), None)
+        .when(ref.rlike("^https?://"), without_fragment(ref))
+        .when(ref.startswith("//"), F.concat(part(base, 1), F.lit(":"), without_fragment(ref)))
+        .when(ref.startswith("/"), F.concat(home, path(ref), asked))
+        .otherwise(below)
+    )
