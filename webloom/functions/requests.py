@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.vectorized import vectorized
 from webloom.functions import urls
 
 VALUE_BYTES, SAMPLE_BYTES, BODY_BYTES, GRAPHQL_TOKENS = 128, 4096, 1 << 20, 15_000
@@ -52,7 +53,7 @@ def cut_bytes(value: str, limit: int) -> str:
     return value.encode("utf-8", "replace")[:limit].decode("utf-8", "ignore")
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def cut_value(value: pd.Series) -> pd.Series:
     return value.map(lambda v: None if v is None else cut_bytes(v, VALUE_BYTES))
 
@@ -143,7 +144,7 @@ def multipart_parameters(content_type: str, body: bytes) -> list[tuple[str, str]
     return sorted(found)
 
 
-@F.pandas_udf(f"params {PARAMETERS}, sample string, graphql string, truncated boolean")
+@vectorized(f"params {PARAMETERS}, sample string, graphql string, truncated boolean")
 def parsed_body(content_type: pd.Series, body: pd.Series) -> pd.DataFrame:
     """Parameters of a request body by its media type; others keep none."""
     rows = []

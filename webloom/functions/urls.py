@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.vectorized import vectorized
 #: Scheme, authority, path, query and fragment of a reference (the pattern of RFC 3986).
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 #: Media types of scripts.
@@ -79,7 +80,7 @@ def origin_of(url: str | None) -> str | None:
     return f"{split.scheme.lower()}://{host}" + (f":{port}" if port and port != usual else "")
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def origin_any(url: pd.Series) -> pd.Series:
     return url.map(origin_of)
 
@@ -199,12 +200,12 @@ def resolved(base: str | None, ref: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def resolve_js(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([resolved(b, r) for b, r in zip(base, ref, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def resolve(base: pd.Series, ref: pd.Series) -> pd.Series:
     """RFC 3986 resolution without fragment; //x takes the base's scheme and keeps what follows."""
 
