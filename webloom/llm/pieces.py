@@ -29,6 +29,40 @@ REMEMBERED = 400_000
 UNKNOWN_PENALTY = 10.0
 
 
+#: Rank of no pair, and the size of the table of pairs.
+NONE, SLOT_BITS = 1 << 30, 20
+
+
+def taken(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that belong to ``rows``, one after another."""
+    n = sizes[rows]
+    shift = np.repeat(starts[rows] - (np.cumsum(n) - n), n)
+    return values[shift + np.arange(len(shift))]
+
+
+class Met:
+    """Ids of the chunks a worker has met: a number for each chunk, and all ids in one array."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.values, self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def add(self, chunks: list[str], values: np.ndarray, sizes: np.ndarray) -> None:
+        """New chunks, in the order in which ``number`` already holds them."""
+        first = len(self.number) - len(chunks)
+        self.values = self._room(self.values, self.used + len(values))
+        self.starts, self.sizes = self._room(self.starts, len(self.number)), self._room(self.sizes, len(self.number))
+        self.values[self.used : self.used + len(values)] = values
+        self.starts[first : len(self.number)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : len(self.number)] = sizes
+        self.used += len(values)
+
+    @staticmethod
+    def _room(array: np.ndarray, size: int) -> np.ndarray:
+        return array if len(array) >= size else np.concatenate([array, np.zeros(max(len(array), size - len(array)), array.dtype)])
+
+
 class Vocabulary:
     """Pieces, scores and merge pairs of a sentencepiece model file."""
 
@@ -45,9 +79,8 @@ class Vocabulary:
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
-        #: What a worker has met: ids of a chunk, the same as text, and its unigram count.
-        self.known: dict[str, list[int]] = {}
-        self.said: dict[str, str] = {}
+        #: What a worker has met: ids of chunks, and their unigram counts.
+        self.met = Met()
         self.counted: dict[str, int] = {}
         self.prefixed = model.normalizer_spec.add_dummy_prefix
         self.plain = not model.normalizer_spec.precompiled_charsmap and not model.normalizer_spec.remove_extra_whitespaces
@@ -59,9 +92,18 @@ class Vocabulary:
         for c in {c for p in self.id for c in p} - set(self.id):
             self.symbol[c] = len(model.pieces) + len(self.symbol)
         self.many = len(model.pieces) + len(self.symbol) + 1
-        pairs = sorted((self.symbol[p[:k]] * self.many + self.symbol[p[k:]], self.id[p], self.score[p]) for p in self.id for k in range(1, len(p)) if p[:k] in self.symbol and p[k:] in self.symbol)
-        self.pair, self.merged = np.array([x[0] for x in pairs]), np.array([x[1] for x in pairs])
-        self.pair_score = np.array([x[2] for x in pairs])
+        ranks = {x: k for k, x in enumerate(sorted(set(self.score.values()), reverse=True))}
+        pairs = [(self.symbol[p[:k]] * self.many + self.symbol[p[k:]], self.id[p], ranks[self.score[p]]) for p in self.id for k in range(1, len(p)) if p[:k] in self.symbol and p[k:] in self.symbol]
+        self.pair = np.array([x[0] for x in pairs] + [-1])
+        self.merged = np.array([x[1] for x in pairs] + [0], dtype=np.int32)
+        self.rank = np.array([x[2] for x in pairs] + [NONE], dtype=np.int32)
+        # Open addressing: the place of a pair, or the last (no pair) where a probe ends.
+        self.slots = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+        for k, at in enumerate(self._slot(self.pair[:-1]).tolist()):
+            while self.slots[at] >= 0:
+                at = (at + 1) & ((1 << SLOT_BITS) - 1)
+            self.slots[at] = k
+        self.spelled = [str(i) for i in range(len(model.pieces))]
         self._strings = {i: p for p, i in self.symbol.items()}
         self._symbols = np.full(0x110000, -1, dtype=np.int32)
         for p, i in self.symbol.items():
@@ -114,56 +156,85 @@ class Vocabulary:
 
     # ------------------------------------------------------------ agenda, many chunks at once
 
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score and id of each merged pair; -inf where there is none."""
-        wanted = left * self.many + right
-        at = np.minimum(np.searchsorted(self.pair, wanted), len(self.pair) - 1)
-        there = (self.pair[at] == wanted) & (left >= 0) & (right >= 0)
-        return np.where(there, self.pair_score[at], -np.inf), self.merged[at]
-
-    def agendas(self, chunks: list[str]) -> list[list[int]]:
-        """``agenda`` of every chunk: each round takes the head of every chunk's agenda."""
-        out: list[list[int]] = [[] for _ in chunks]
-        order = sorted((k for k in range(len(chunks)) if len(chunks[k]) <= WIDE), key=lambda k: len(chunks[k]))
-        for k, c in enumerate(chunks):
-            if len(c) > WIDE:
-                out[k] = self.agenda(c)
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * BASE) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place of each adjacent pair in the pair tables; the last place where they don't merge."""
+        wanted = left.astype(np.int64) * self.many + right
+        wanted[(left < 0) | (right < 0)] = -2
+        slot = self._slot(wanted)
+        found = self.slots[slot]
+        open_ = np.flatnonzero((self.pair[found] != wanted) & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << SLOT_BITS) - 1)
+            found[open_] = self.slots[slot[open_]]
+            open_ = open_[(self.pair[found[open_]] != wanted[open_]) & (found[open_] >= 0)]
+        return found
+
+    def agendas(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``agenda`` of every chunk: all ids in a row, and how many each chunk has."""
+        lengths = np.array([len(c) for c in chunks], dtype=np.int64)
+        order = np.argsort(lengths, kind="stable")
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(order), 4096):
             rows = order[at : at + 4096]
-            for k, ids in zip(rows, self._block([chunks[k] for k in rows]), strict=True):
-                out[k] = ids
-        return out
-
-    def _block(self, chunks: list[str]) -> list[list[int]]:
-        width, n = max(map(len, chunks)), len(chunks)
-        symbols = np.full((n, width + 1), -2, dtype=np.int64)  # -2: beyond the end; -3 - code: unknown character
-        sizes = np.array([len(c) for c in chunks])
-        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+            short = rows[lengths[rows] <= WIDE]
+            if len(short):
+                parts.append(self._block([chunks[k] for k in short.tolist()], lengths[short]))
+            for k in rows[len(short) :].tolist():
+                ids = self.agenda(chunks[k])
+                parts.append((np.array(ids, dtype=np.int32), np.array([len(ids)])))
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        values, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return taken(values, np.cumsum(sizes) - sizes, sizes, back), sizes[back]
+
+    def _block(self, chunks: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each round takes the head of every chunk's agenda, until no chunk has one."""
+        width, n = int(lengths.max()), len(chunks)
+        symbols = np.full((n, width + 1), -2, dtype=np.int32)  # -2: beyond the end; -3 - code: unknown character
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
         known = self._symbols[codes]
-        symbols[:, :width][np.arange(width)[None, :] < sizes[:, None]] = np.where(known < 0, -3 - codes, known)
-        scores, merged = self._pairs(symbols[:, :-1], symbols[:, 1:])
-        live, columns = np.arange(n), np.arange(width + 1)
+        symbols[:, :width][np.arange(width)[None, :] < lengths[:, None]] = np.where(known < 0, -3 - codes, known)
+        done, live, columns = np.empty_like(symbols), np.arange(n), np.arange(width)
+        pairs = self._pairs(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, width)
         while len(live):
-            best = scores[live].argmax(axis=1)
-            live, best = (x[scores[live, best] > -np.inf] for x in (live, best))
+            ranks = self.rank[pairs]
+            best = ranks.argmin(axis=1)
+            rows = np.arange(len(live))
+            merges = ranks[rows, best] < NONE
+            if not merges.all():
+                done[live[~merges]] = symbols[~merges]
+                live, best, symbols, pairs = live[merges], best[merges], symbols[merges], pairs[merges]
+                rows = rows[: len(live)]
             if not len(live):
                 break
-            rows = symbols[live]
-            rows[np.arange(len(live)), best] = merged[live, best]
-            moved = np.where(columns[None, :-1] > best[:, None], rows[:, 1:], rows[:, :-1])
-            symbols[live, :-1] = moved
-            symbols[live, -1] = -2
-            for m in (scores, merged):
-                old = m[live]
-                m[live, :-1] = np.where(columns[None, : width - 1] > best[:, None], old[:, 1:], old[:, :-1])
-            scores[live, -1] = -np.inf
-            for side in (best - 1, best):
-                ok = (side >= 0) & (side < width)
-                r, c = live[ok], side[ok]
-                scores[r, c], merged[r, c] = self._pairs(symbols[r, c], symbols[r, c + 1])
-        ends = (symbols != -2).sum(axis=1).tolist()
-        plain = ((symbols == -2) | self._final[np.maximum(symbols, 0)] & (symbols >= 0)).all(axis=1).tolist()
-        return [row[:end] if ok else self.ids([self._strings[s] if s >= 0 else chr(-3 - s) for s in row[:end]]) for row, end, ok in zip(symbols.tolist(), ends, plain, strict=True)]
+            symbols[rows, best] = self.merged[pairs[rows, best]]
+            later = columns[None, :] > best[:, None]
+            symbols[:, :-1] = np.where(later, symbols[:, 1:], symbols[:, :-1])
+            symbols[:, -1] = -2
+            pairs[:, :-1] = np.where(later[:, :-1], pairs[:, 1:], pairs[:, :-1])
+            pairs[:, -1] = -1
+            pairs[rows, best] = self._pairs(symbols[rows, best], symbols[rows, best + 1])
+            before = rows[best > 0]
+            pairs[before, best[before] - 1] = self._pairs(symbols[before, best[before] - 1], symbols[before, best[before]])
+        there = done != -2
+        sizes = there.sum(axis=1)
+        odd = np.flatnonzero((there & ~(self._final[np.maximum(done, 0)] & (done >= 0))).any(axis=1))
+        values = done[there]
+        if len(odd):  # byte pieces take the place of characters that are no pieces
+            at = np.cumsum(sizes) - sizes
+            spelled = {k: self.ids([self._strings[s] if s >= 0 else chr(-3 - s) for s in values[at[k] : at[k] + sizes[k]].tolist()]) for k in odd.tolist()}
+            pieces = np.split(values, at[1:])
+            for k, ids in spelled.items():
+                pieces[k] = np.array(ids, dtype=np.int32)
+                sizes[k] = len(ids)
+            values = np.concatenate(pieces)
+        return values, sizes
 
     # ------------------------------------------------------------ unigram counts over a trie
 
@@ -263,16 +334,20 @@ def vocabulary(path: str) -> Vocabulary:
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("agenda_agrees", pa.bool_())])
 
 
-def checked(words: Vocabulary, chunks: list[str], ids: list[list[int]]) -> list[list[int]]:
-    """``ids``, where the library encodes a chunk in another way the library's.
+def checked(words: Vocabulary, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Ids and sizes of ``chunks`` by the agenda, held against the library, whose word counts where they differ.
 
     The library puts a word mark before each text: a chunk with one is given without it,
     any other chunk behind a line end, whose ids are then taken off.
     """
+    values, sizes = words.agendas(chunks)
     lead = len(words.library.encode("\n"))
     bare = [c.startswith(MARK) and words.prefixed for c in chunks]
     told = words.library.encode([(c[1:] if b else "\n" + c).replace(MARK, " ") for c, b in zip(chunks, bare, strict=True)], num_threads=1)
-    return [own if c == MARK else theirs if b else theirs[lead:] for c, b, own, theirs in zip(chunks, bare, ids, told, strict=True)]
+    told = [[words.id[MARK]] if c == MARK else ids if b else ids[lead:] for c, b, ids in zip(chunks, bare, told, strict=True)]
+    lengths = np.array(list(map(len, told)), dtype=np.int64)
+    flat = np.fromiter(chain.from_iterable(told), np.int32, int(lengths.sum()))
+    return flat, lengths, bool(np.array_equal(lengths, sizes) and np.array_equal(flat, values))
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
@@ -291,20 +366,28 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     def rows(words: Vocabulary, batch: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         cut = [words.chunks(t) for t in texts]
-        known, said = words.known, words.said
-        if len(known) > REMEMBERED:
-            known.clear()
-            said.clear()
-        new = list({c for line in cut for c in line if c not in known})
+        if len(words.met.number) > REMEMBERED:
+            words.met = Met()
+        met = words.met
+        number = met.number
+        every = list(chain.from_iterable(cut))
+        rows = list(map(number.get, every))
+        new: list[str] = []
+        if None in rows:
+            for k in [k for k, r in enumerate(rows) if r is None]:
+                if every[k] not in number:
+                    number[every[k]] = len(number)
+                    new.append(every[k])
+                rows[k] = number[every[k]]
         agrees = True
         if new:
-            own = words.agendas(new)
-            told = checked(words, new, own)
-            agrees = own == told
-            known.update(zip(new, told, strict=True))
-            said.update((c, ",".join(map(str, i))) for c, i in zip(new, told, strict=True))
-        ids = [list(chain.from_iterable(map(known.__getitem__, line))) for line in cut]
-        lines = [",".join(map(said.__getitem__, line)) for line in cut]
+            values, sizes, agrees = checked(words, new)
+            met.add(new, values, sizes)
+        at = np.array(rows, dtype=np.int64)
+        flat = taken(met.values, met.starts, met.sizes, at).tolist()
+        ends = np.concatenate([[0], np.cumsum(met.sizes[at])])[np.cumsum([0, *map(len, cut)])].tolist()
+        ids = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        lines = [",".join(map(words.spelled.__getitem__, i)) for i in ids]
         if whole:
             told = words.library.encode(texts, num_threads=1)
             agrees &= ids == told
