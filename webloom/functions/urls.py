@@ -238,7 +238,7 @@ def without_dots(raw_path: Column) -> Column:
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.least(F.size(acc), F.lit(1))))).otherwise(F.array_append(acc, s)),
     )
-    return F.concat(F.array_join(kept, "/"), F.when(raw_path.rlike(r"(^|/)\.\.?$") & (F.size(kept) > 0) & (F.element_at(kept, -1) != ""), "/").otherwise(""))
+    return F.concat(F.array_join(kept, "/"), F.when(raw_path.rlike(r"(^|/)\.\.?$") & ((F.size(kept) == 1) | (F.try_element_at(kept, F.lit(-1)) != "")), "/").otherwise(""))
 
 
 def joined(base: Column, ref: Column) -> Column:

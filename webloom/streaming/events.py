@@ -115,8 +115,8 @@ _STATE = "hop int, seq long, url string, method string, resource_type string, st
 _OUT = "request_id string, redirect_index int, seq long, url string, method string, resource_type string, status_code long, mime_type string, completed boolean, failed boolean, redirect_from string, redirect_to string"
 
 
-def streamed_requests(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """``requests`` as a stream: a hop is emitted when it is redirected, ends, or times out.
+def streamed_requests(events: DataFrame, timeout_ms: int = 0) -> DataFrame:
+    """``requests`` as a stream: a hop is emitted when it is redirected, ends, or, with ``timeout_ms``, times out.
 
     One small state row per open request; a closed one drops its state.
     """
@@ -142,12 +142,13 @@ def streamed_requests(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
                         own = None
         if own:
             state.update(tuple(own))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
-    return events.groupBy("request_id").applyInPandasWithState(run, _OUT, _STATE, "append", "ProcessingTimeTimeout")
+    return events.groupBy("request_id").applyInPandasWithState(run, _OUT, _STATE, "append", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout")
 
 
 def _row(request: str, own: list, completed: bool, failed: bool, target: str) -> tuple:
