@@ -138,7 +138,7 @@ def extended(texts: DataFrame, length: int, by_seed: bool) -> DataFrame:
     """Candidate windows of ``length``: h1, h2, doc_id, at, state (see ``settled``).
 
     ``texts`` has doc_id, text and marks: repeated samples (by_seed), else the starts of
-    repeated windows of half the length.
+    the windows of ``length`` whose halves both repeat.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +151,7 @@ def extended(texts: DataFrame, length: int, by_seed: bool) -> DataFrame:
                     small, least = sampled(hashes, length)
                     at = np.flatnonzero(np.isin(small.view(np.int64), own)[least])
                 else:
-                    half = length // 2
-                    there = np.zeros(len(hashes) + length, bool)
-                    there[own] = True
-                    at = np.flatnonzero(there[:-half] & there[half:])
-                    at = at[at + length <= len(hashes)]
+                    at = np.unique(own[own + length <= len(hashes)])
                 if len(at):
                     parts.append((window_hashes(hashes, length, FIRST)[at], window_hashes(hashes, length, SECOND)[at], np.full(len(at), doc), at))
             if not parts:
