@@ -11,7 +11,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +51,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of at most ``rows`` rows, so Python objects of one slice only are alive."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Zero-copy slices of at most ``rows`` rows and about ``size`` bytes of text, so that the
+    Python objects of one slice only are alive; a longer text is a slice by itself."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        held = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                held += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(held)
+        at = 0
+        while at < batch.num_rows:
+            room = (upto[at - 1] if at else 0) + size
+            end = max(at + 1, min(at + rows, int(np.searchsorted(upto, room, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def record_batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:

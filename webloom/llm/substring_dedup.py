@@ -118,24 +118,39 @@ def first_level(docs: DataFrame, length: int) -> DataFrame:
 ALONE, STANDS, LATER = 0, 1, 2
 
 
-def settled(first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """ALONE, STANDS or LATER for each row of a slice."""
-    order = np.lexsort((doc, second, first))
-    a, b, d = first[order], second[order], doc[order]
-    start = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    at = np.flatnonzero(start)
-    group = np.cumsum(start) - 1
-    least, most = d[at], d[np.append(at[1:], len(d)) - 1]
-    out = np.empty(len(doc), dtype=np.int8)
-    out[order] = np.where(d > least[group], LATER, np.where(most > least, STANDS, ALONE)[group])
-    return out
+def settled(first: np.ndarray, second: np.ndarray, doc: np.ndarray, at: np.ndarray) -> dict[str, object]:
+    """Rows of a slice for the shuffle: h1, h2, doc_id, starts (list) and state.
 
-
-_WINDOW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("state", pa.int8())])
+    A document has one row for each of its windows that still needs comparing, with all
+    starts of it, and one row for all starts that the slice has settled.
+    """
+    order = np.lexsort((at, doc, second, first))
+    a, b, d, p = first[order], second[order], doc[order], at[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    begin = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    least, most = d[begin], d[np.append(begin[1:], len(d)) - 1]
+    state = np.where(d > least[group], LATER, np.where(most > least, STANDS, ALONE)[group])
+    open_, done = np.flatnonzero(state < LATER), np.flatnonzero(state == LATER)
+    done = done[np.argsort(d[done], kind="stable")]
+    head = np.concatenate([[True], group[open_][1:] != group[open_][:-1]])[: len(open_)]
+    tail = np.concatenate([[True], d[done][1:] != d[done][:-1]])[: len(done)]
+    heads, tails = open_[head], done[tail]
+    offsets = np.concatenate([np.flatnonzero(head), len(open_) + np.flatnonzero(tail), [len(open_) + len(done)]])
+    # A settled row has a key of its own, which keeps it out of the hot window's group.
+    own = d[tails].astype(np.uint64) * np.uint64(FIRST) ^ a[tails]
+    return {
+        "h1": np.concatenate([a[heads], own]).view(np.int64), "h2": np.concatenate([b[heads], ~b[tails]]).view(np.int64), "doc_id": np.concatenate([d[heads], d[tails]]),
+        "starts": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(p[np.concatenate([open_, done])], pa.int32())),
+        "state": np.concatenate([state[heads], state[tails]]).astype(np.int8),
+    }
+
+
+_WINDOW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("starts", pa.list_(pa.int32())), ("state", pa.int8())])
 
 
 def extended(texts: DataFrame, length: int, by_seed: bool) -> DataFrame:
-    """Candidate windows of ``length``: h1, h2, doc_id, at, state (see ``settled``).
+    """Candidate windows of ``length``: rows as ``settled`` makes them.
 
     ``texts`` has doc_id, text and marks: repeated samples (by_seed), else the starts of
     the windows of ``length`` whose halves both repeat.
@@ -157,27 +172,23 @@ def extended(texts: DataFrame, length: int, by_seed: bool) -> DataFrame:
             if not parts:
                 continue
             first, second, docs, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            state = settled(first, second, docs)
-            later = state == LATER
-            # A settled row needs no comparison any more: a hash of its own keeps it out of the hot group.
-            alone = docs.astype(np.uint64) * np.uint64(FIRST) + starts.astype(np.uint64) * np.uint64(SECOND)
-            yield record_batch(_WINDOW, h1=np.where(later, alone, first).view(np.int64), h2=np.where(later, starts.astype(np.uint64), second).view(np.int64), doc_id=docs, at=starts.astype(np.int32), state=state)
+            yield record_batch(_WINDOW, **settled(first, second, docs, starts))
 
-    return texts.mapInArrow(run, "h1 long, h2 long, doc_id long, at int, state byte")
+    return texts.mapInArrow(run, "h1 long, h2 long, doc_id long, starts array<int>, state byte")
 
 
 def compared(windows: DataFrame) -> DataFrame:
-    """Saved (doc_id, at, later) of candidate windows that two texts have; later: a smaller doc_id has it.
+    """Saved (doc_id, starts, later) of candidate windows that two texts have; later: a smaller doc_id has it.
 
     One shuffle: hot windows have a row for each slice of texts, not for each text.
     """
     same = Window.partitionBy("h1", "h2")
     seen = windows.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same)})
-    return saved(seen.where((F.col("state") > ALONE) | (F.col("lo") < F.col("hi"))).select("doc_id", "at", ((F.col("state") == LATER) | (F.col("doc_id") > F.col("lo"))).alias("later")), "windows")
+    return saved(seen.where((F.col("state") > ALONE) | (F.col("lo") < F.col("hi"))).select("doc_id", "starts", ((F.col("state") == LATER) | (F.col("doc_id") > F.col("lo"))).alias("later")), "windows")
 
 
 def starts_of(windows: DataFrame) -> DataFrame:
-    return windows.groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
+    return windows.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("marks"))
 
 
 def repeats(docs: DataFrame, length: int = 50, extend: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -195,16 +206,17 @@ def repeats(docs: DataFrame, length: int = 50, extend: bool = False) -> tuple[Da
     twice = saved(seeds.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed"), "seeds")
     marks = saved(seeds.join(twice, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("marks")), "marks")
     windows = compared(extended(slim.join(marks, "doc_id"), length, True))
+    texts = saved(slim.join(windows.select("doc_id").distinct(), "doc_id", "left_semi"), "texts") if extend else slim  # few texts have what the levels above look at
     remove = saved(starts_of(windows.where("later")), "starts")
     longest = windows.select("doc_id").distinct().withColumn("longest", F.lit(length))
     size, at_level = 2 * length, windows
     while extend and not at_level.isEmpty():
         longest = longest.union(at_level.select("doc_id").distinct().withColumn("longest", F.lit(size // 2)))
-        ends = at_level.select("doc_id", "at").union(at_level.select("doc_id", (F.col("at") - size // 2).alias("at")))
+        at = F.explode(F.concat("starts", F.transform("starts", lambda p: p - size // 2)))  # noqa: B023
+        ends = at_level.select("doc_id", at.alias("at"))
         # A window of twice the length starts where one survives and another at its end does.
-        whole = ends.groupBy("doc_id", "at").count().where("count > 1 and at >= 0").select("doc_id", "at")
-        texts = slim.join(saved(starts_of(whole), "marks"), "doc_id")
-        at_level, size = compared(extended(texts, size, False)), size * 2
+        whole = ends.groupBy("doc_id", "at").count().where("count > 1 and at >= 0").select("doc_id", F.array("at").alias("starts"))
+        at_level, size = compared(extended(texts.join(saved(starts_of(whole), "marks"), "doc_id"), size, False)), size * 2
     status = owned.select("doc_id", "digest", "n_words", "sha", (F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False)) & (F.col("n_words") >= length)).alias("copy"))
     reach = longest.groupBy("doc_id").agg(F.max("longest").alias("longest"))
     return saved(status.join(reach, "doc_id", "left").withColumn("longest", F.coalesce("longest", F.lit(0))), "status"), remove
