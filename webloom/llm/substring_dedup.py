@@ -192,9 +192,9 @@ def starts_of(windows: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = 50, extend: bool = False) -> tuple[DataFrame, DataFrame]:
-    """What to remove: (status of every row: doc_id, digest, n_words, sha, copy, longest), (doc_id, marks: window starts).
+    """What to remove: (status of every row: doc_id, n_words, sha, copy, longest), (doc_id, marks: window starts).
 
-    ``longest`` is the longest level at which a window of the text repeats, 0 if none does.
+    ``longest`` is the longest level at which a window of the text is also in a text with other words, 0 if none is.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     level = saved(first_level(slim, length), "level")
@@ -217,9 +217,9 @@ def repeats(docs: DataFrame, length: int = 50, extend: bool = False) -> tuple[Da
         # A window of twice the length starts where one survives and another at its end does.
         whole = ends.groupBy("doc_id", "at").count().where("count > 1 and at >= 0").select("doc_id", F.array("at").alias("starts"))
         at_level, size = compared(extended(texts.join(saved(starts_of(whole), "marks"), "doc_id"), size, False)), size * 2
-    status = owned.select("doc_id", "digest", "n_words", "sha", (F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False)) & (F.col("n_words") >= length)).alias("copy"))
-    reach = longest.groupBy("doc_id").agg(F.max("longest").alias("longest"))
-    return saved(status.join(reach, "doc_id", "left").withColumn("longest", F.coalesce("longest", F.lit(0))), "status"), remove
+    status = owned.select("doc_id", "owner", "n_words", "sha", (F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False)) & (F.col("n_words") >= length)).alias("copy"))
+    reach = saved(longest.groupBy(F.col("doc_id").alias("owner")).agg(F.max("longest").alias("longest")), "longest")
+    return saved(status.join(reach, "owner", "left").drop("owner").withColumn("longest", F.coalesce("longest", F.lit(0))), "status"), remove
 
 
 def covered(starts: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -254,7 +254,7 @@ def digested(docs: DataFrame, length: int = 50, extend: bool = False) -> DataFra
         "doc_id", "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        F.when(F.col("copy"), F.col("n_words")).otherwise(F.col("longest")).cast("long").alias("longest"),
+        F.col("longest").cast("long").alias("longest"),
     )
 
 
