@@ -167,14 +167,20 @@ def quoted_paths(js: DataFrame) -> DataFrame:
     return rows.select("url", F.col("ord").cast("long").alias("ord"), "asset_url")
 
 
-def framework_scores(js: DataFrame) -> DataFrame:
-    """url, framework (unknown below the threshold), score and reasons."""
+def detected(body: Column, url: Column) -> Column:
+    """Best framework as struct<score, place, name, reasons>, one expression over all weights."""
+
     def judged(name: str, inside: tuple, outside: tuple, place: int) -> Column:
-        hits = [(F.col("body").contains(w), n, w) for w, n in inside] + [(F.col("url").contains(w), n, f"url:{w}") for w, n in outside]
+        hits = [(body.contains(w), n, w) for w, n in inside] + [(url.contains(w), n, f"url:{w}") for w, n in outside]
         score = sum((F.when(ok, F.lit(n)).otherwise(0) for ok, n, _ in hits), F.lit(0))
         return F.struct(score.alias("score"), F.lit(-place).alias("place"), F.lit(name).alias("name"), F.array_compact(F.array(*[F.when(ok, F.lit(w)) for ok, _, w in hits])).alias("reasons"))
 
-    best = js.select("url", F.array_max(F.array(*[judged(*w, k) for k, w in enumerate(WEIGHTS)])).alias("b"))
+    return F.array_max(F.array(*[judged(*w, k) for k, w in enumerate(WEIGHTS)]))
+
+
+def framework_scores(js: DataFrame) -> DataFrame:
+    """url, framework (unknown below the threshold), score and reasons."""
+    best = js.select("url", detected(F.col("body"), F.col("url")).alias("b"))
     known = F.col("b.score") >= THRESHOLD
     return best.select("url", F.when(known, F.col("b.name")).otherwise("unknown").alias("framework"), F.when(known, F.col("b.score")).otherwise(0).cast("long").alias("score"), F.when(known, F.col("b.reasons")).otherwise(F.array().cast(NO_STRINGS)).alias("reasons"))
 
@@ -196,8 +202,10 @@ def route_key(framework: Column, body: Column, url: Column) -> Column:
 
 
 def dispatched(js: DataFrame) -> DataFrame:
-    """Scripts with framework and route_key."""
-    return js.join(framework_scores(js).select("url", "framework"), "url").withColumn("route_key", route_key(F.col("framework"), F.col("body"), F.col("url")))
+    """Scripts with framework and route_key; bodies stay where they are."""
+    best = js.withColumn("_b", detected(F.col("body"), F.col("url")))
+    named = best.withColumn("framework", F.when(F.col("_b.score") >= THRESHOLD, F.col("_b.name")).otherwise("unknown")).drop("_b")
+    return named.withColumn("route_key", route_key(F.col("framework"), F.col("body"), F.col("url")))
 
 
 # ---------------------------------------------------------------- bundlers
@@ -373,9 +381,9 @@ def analysed(lexed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Imports, routes and assets of all scripts: token findings first, then the analysis of their
     framework, then quoted paths not known yet (J11, J22, J23).
 
-    ``lexed`` should be a saved table: every branch of the union reads it.
+    ``lexed`` is ``dispatched(scanned(js))``, best as a saved table: every branch of the union reads it.
     """
-    known = dispatched(lexed)
+    known = lexed
     parts = [f(known.where(F.col("route_key") == k)) for k, f in ANALYSES.items()]
     own_imports, own_routes = token_imports(known), token_routes(known)
     of_framework = [_union([p[n] for p in parts]) for n in range(3)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators import javascript as J
+from webloom.operators.crawl import saved
 from webloom.plans.tables import sql
 
 JS = r"""
@@ -88,7 +89,7 @@ def j21_angular(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j22_j23_j24_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.discovered(J.scanned(scripts(spark, sf_dir))).select("url", "asset_url", "confidence", "source")
+    return J.discovered(saved(J.dispatched(J.scanned(scripts(spark, sf_dir))))).select("url", "asset_url", "confidence", "source")
 
 
 def j26_paths_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +138,15 @@ UNION ALL SELECT url, '__webpack_require__.e(1)', {_ROOT} || '/static/js/1.aa1.j
     "j19_next_routes": f"{W} SELECT url, '/p' || {_ID} AS route, {_ROOT} || '/_next/static/chunks/pages/p.js' AS lazy_js, {_ROOT} || '/_next/static/chunks/pages/p.js ' || {_ROOT} || '/x/y.js' AS deps, 'high' AS confidence FROM js WHERE page_id % 6 = 2",
     "j20_nuxt": f"{W} SELECT url, {_ROOT} || '/_nuxt/entry' || {_ID} || '.js' AS asset_url, 'medium' AS confidence FROM js WHERE page_id % 6 = 3",
     "j21_angular": f"{W} SELECT url, {_DIR} || 'lazy' || {_ID} || '.js' AS lazy_js, 'medium' AS confidence FROM js WHERE page_id % 6 = 4",
+    "j22_j23_j24_discovered": f"""{W}, t AS (SELECT *, page_id % 6 AS k, {_DIR} AS d, {_ROOT} AS r, {_ID} AS i FROM js)
+SELECT url, d || unnest(['chunk-' || i || '.js', 'user-' || i || '.js']) AS asset_url, 'high' AS confidence, 'import_expression' AS source FROM t WHERE k = 0 UNION ALL SELECT url, d || unnest(['assets/a' || i || '.js', 'assets/c.js']), 'medium', 'vite_map_deps' FROM t WHERE k = 0
+UNION ALL SELECT url, d || 'lazy-' || i || '.js', 'high', 'import_expression' FROM t WHERE k = 1 UNION ALL SELECT url, r || '/static/js/1.aa1.js', 'high', 'webpack_runtime' FROM t WHERE k = 1
+UNION ALL SELECT url, r || unnest(['/_next/static/b1/_buildManifest.js', '/_next/static/b1/_ssgManifest.js', '/_next/static/b1/app-build-manifest.js', '/_next/static/chunks/main-' || i || '.js']), 'high', 'next_manifest' FROM t WHERE k = 2
+UNION ALL SELECT url, r || '/_nuxt/entry' || i || '.js', 'medium', 'nuxt_static' FROM t WHERE k = 3 UNION ALL SELECT url, d || 'lazy' || i || '.js', 'high', 'import_expression' FROM t WHERE k = 4
+UNION ALL SELECT url, d || unnest(['mod' || i || '.js', 'home.js']), 'high', 'import_expression' FROM t WHERE k = 5 UNION ALL SELECT url, r || '/js/extra' || i || '.js', 'low', 'regex_candidate' FROM t WHERE k = 5""",
+    "j26_paths_in_text": f"""{W}, t AS (SELECT *, page_id % 6 AS k, {_DIR} AS d, {_ROOT} AS r, {_ID} AS i FROM js)
+SELECT url, d || unnest(['chunk-' || i || '.js', 'user-' || i || '.js']) AS asset_url FROM t WHERE k = 0 UNION ALL SELECT url, d || 'lazy-' || i || '.js' FROM t WHERE k = 1 UNION ALL SELECT url, r || unnest(['/_next/static/chunks/main-' || i || '.js', '/x/y.js']) FROM t WHERE k = 2
+UNION ALL SELECT url, r || '/_nuxt/entry' || i || '.js' FROM t WHERE k = 3 UNION ALL SELECT url, d || 'lazy' || i || '.js' FROM t WHERE k = 4 UNION ALL SELECT url, d || unnest(['mod' || i || '.js', 'home.js']) FROM t WHERE k = 5 UNION ALL SELECT url, r || '/js/extra' || i || '.js' FROM t WHERE k = 5""",
     "j27_urls_in_log": "SELECT page_id AS line_id, unnest([url, 'https://log.example.com/' || CAST(page_id AS STRING)]) AS url FROM pages",
     "a1_static_endpoints": f"""{W} SELECT url AS source_js_url, '/api/v' || CAST(page_id % 9 AS STRING) || '/list' AS raw_url, 'POST' AS method, 'fetch' AS type FROM js WHERE page_id % 6 = 5
 UNION ALL SELECT url, '/api/items/EXPR/open', 'GET', 'axios.get' FROM js WHERE page_id % 6 = 5 UNION ALL SELECT url, '/home' || {_ID}, '', 'string' FROM js WHERE page_id % 6 = 5
