@@ -206,3 +206,22 @@ def _closing(code: list[tuple[str, str]], at: int) -> int:
 @vectorized("string")
 def fold(body: pd.Series) -> pd.Series:
     return body.map(folded)
+
+
+def summaries(maps: DataFrame) -> DataFrame:
+    """Per map: status, number of sources, and whether contents are there, by JSON functions alone."""
+    parsed = maps.withColumn("m", F.from_json("map_text", "version int, sources array<string>, sourcesContent array<string>"))
+    good = (F.col("m.version") == 3) & F.col("m.sources").isNotNull()
+    return parsed.select(
+        "url", F.when(good, "parsed").otherwise("failed").alias("status"), F.when(good, F.size("m.sources")).otherwise(0).cast("long").alias("source_count"),
+        F.coalesce(F.exists("m.sourcesContent", lambda c: F.coalesce(c, F.lit("")) != ""), F.lit(False)).alias("has_sources_content"),
+    )
+
+
+def content_findings(maps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dynamic imports and routes of the sources that maps carry."""
+    from webloom.operators import javascript
+
+    parsed = maps.withColumn("m", F.from_json("map_text", "sources array<string>, sourcesContent array<string>"))
+    each = parsed.select("url", F.posexplode("m.sourcesContent").alias("source", "body")).where("body is not null")
+    return javascript.dynamic_imports(each), javascript.routes(each)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webloom.operators import html as H
 from webloom.operators import sourcemap as P
 from webloom.plans.tables import sql
+from webloom.sources import io as S
 
 HTML = """SELECT page_id, 'https://h' || CAST(page_id % 40 AS STRING) || '.example.com/d/p' || CAST(page_id AS STRING) || '.html' AS url,
 '<html><head>' || CASE WHEN page_id % 3 = 0 THEN '<base href="/base/"><base href="/other/">' ELSE '' END ||
@@ -78,6 +79,17 @@ def p6_analysis_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.select("bundle", "source_name", F.sha2("body", 256).alias("body_hash"))
 
 
+def j25_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.summaries(_maps(spark, sf_dir))
+
+
+def s11_with_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sql(spark, sf_dir, MAP, "documents")
+    bundles = rows.select("url", F.when(F.col("doc_id") % 3 == 0, F.concat("url", F.lit(".own.map"))).otherwise("").alias("map_url"))
+    served = rows.select(F.concat("url", F.when(F.col("doc_id") % 3 == 0, ".own.map").otherwise(".map")).alias("map_url"), F.when(F.col("doc_id") % 5 == 0, 404).otherwise(200).alias("status_code"), F.lit("m").alias("map_text"))
+    return S.with_maps(bundles, served).select("url", "map_url", "map_text")
+
+
 def p1_s11_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit('var s="//# sourceMappingURL=no.map";\n//# sourceMappingURL=b'), F.col("doc_id").cast("string"), F.lit(".js.map\n"))
     return sql(spark, sf_dir, MAP, "documents").select("doc_id", P.map_reference(body).alias("reference"), P.adjacent_map(F.concat("url", F.lit("?v=1"))).alias("adjacent"))
@@ -109,8 +121,10 @@ UNION ALL SELECT url, base || 'mp.js', 'modulepreload', 'medium' FROM c UNION AL
 CASE WHEN doc_id % 2 = 0 THEN 'used' ELSE 'no_application_sources' END AS status FROM m""",
     "p6_analysis_units": f"{_MAPS} SELECT url AS bundle, CASE WHEN doc_id % 2 = 0 THEN 'src/f' || CAST(doc_id AS VARCHAR) || '.ts' ELSE url END AS source_name, CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE sha256('bundle') END AS body_hash FROM m",
     "p1_s11_references": f"{_MAPS} SELECT doc_id, 'b' || CAST(doc_id AS VARCHAR) || '.js.map' AS reference, url || '.map?v=1' AS adjacent FROM m",
+    "j25_summaries": f"{_MAPS} SELECT url, 'parsed' AS status, CAST(2 AS BIGINT) AS source_count, text <> '' AS has_sources_content FROM m",
+    "s11_with_maps": f"{_MAPS} SELECT url, url || CASE WHEN doc_id % 3 = 0 THEN '.own.map' ELSE '.map' END AS map_url, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'm' END AS map_text FROM m",
     "p2_data_urls": f"{_MAPS} SELECT doc_id, sha256(text) AS hash FROM m",
     "p7_p8_folded": f"""{_MAPS} SELECT doc_id, 'var a = "xy' || CAST(doc_id AS VARCHAR) || 'z" ; c ( 2 ) ;' || chr(10) AS code FROM m""",
 }
 
-QUERIES = {k: f for k, f in list(globals().items()) if k[:1] in "hp" and k[1:2].isdigit() and callable(f)}
+QUERIES = {k: f for k, f in list(globals().items()) if k[:1] in "hpjs" and k[1:2].isdigit() and callable(f)}

@@ -71,6 +71,19 @@ def u13_u14_json_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("event_id", "p.name", "p.value")
 
 
+def u15_graphql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sql(spark, sf_dir, "SELECT event_id, '{\"query\":\"query Q' || CAST(event_id % 5 AS STRING) || ' { a { b } }\",\"operationName\":\"Q' || CAST(event_id % 5 AS STRING) || '\",\"variables\":' || props || '}' AS body FROM events", "events")
+    parsed = rows.select("event_id", R.parsed_body(F.lit("application/graphql+json"), F.col("body")).alias("p"))
+    return parsed.select("event_id", "p.graphql", F.array_join(F.transform("p.params", lambda x: F.concat(x["name"], F.lit("="), x["value"])), "&").alias("params"))
+
+
+def u17_multipart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = "'--b\r\nContent-Disposition: form-data; name=\"f' || CAST(event_id % 3 AS STRING) || '\"; filename=\"x\"\r\n\r\nq\r\n--b\r\nContent-Disposition: form-data; name=\"t\"\r\n\r\nv\r\n--b--\r\n'"
+    rows = sql(spark, sf_dir, f"SELECT event_id, {body} AS body FROM events", "events")
+    each = rows.select("event_id", F.explode(R.parsed_body(F.lit("multipart/form-data; boundary=b"), F.col("body"))["params"]).alias("p"))
+    return each.select("event_id", "p.name", "p.value")
+
+
 def u16_form_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = sql(spark, sf_dir, "SELECT o_orderkey, 'status=' || o_orderstatus || '&cust=' || CAST(o_custkey AS STRING) AS body FROM orders", "orders")
     each = body.select("o_orderkey", F.explode(R.pairs(F.col("body"))).alias("p"))
@@ -121,6 +134,8 @@ regexp_replace(last, '[.][^.]*$', '') || '-' || substr(sha256(url), 1, 8) || CAS
 regexp_replace(substr(regexp_replace(path || CASE WHEN q IN ('', '?') THEN '' ELSE q END, '[/:?&= ]', '_', 'g'), 1, 200), '^_', '') AS file FROM p""",
     "u12_query_parameters": "SELECT page_id, regexp_extract(p, '^([^=]*)', 1) AS name, regexp_extract(p, '=(.*)$', 1) AS value FROM (SELECT page_id, unnest(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&')) AS p FROM pages) t WHERE p <> ''",
     "u13_u14_json_parameters": "SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events",
+    "u15_graphql": "SELECT event_id, 'Q' || CAST(event_id % 5 AS VARCHAR) AS graphql, 'operationName=Q' || CAST(event_id % 5 AS VARCHAR) || '&variables.k=' || json_extract_string(props, '$.k') AS params FROM events",
+    "u17_multipart": "SELECT event_id, 'f' || CAST(event_id % 3 AS VARCHAR) AS name, '[FILE]' AS value FROM events UNION ALL SELECT event_id, 't', '' FROM events",
     "u16_form_parameters": "SELECT o_orderkey, 'status' AS name, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'cust', CAST(o_custkey AS VARCHAR) FROM orders",
     "u20_http_method": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'PATCH' ELSE CASE event_id % 6 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 3 THEN 'DELETE' WHEN 5 THEN 'PUT' ELSE '' END END AS method FROM events",
     "u21_endpoint_candidate": "SELECT page_id, regexp_matches(regexp_extract(url, '^https?://[^/]*(/.*)$', 1), '^/[^ \"'']*$') AS is_candidate FROM pages",
