@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read back: loops keep short plans and survive lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="webloom-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/webloom/crawl-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from webloom.functions.storage import saved
 
 
 def crawled(entries: DataFrame, links: DataFrame, max_depth: int = 10, budget: int = 0) -> DataFrame:
