@@ -15,32 +15,34 @@ def crawled(entries: DataFrame, links: DataFrame, max_depth: int = 10, budget: i
     batch is the whole frontier; the next one has what it links to, is worth fetching,
     of high or medium confidence, not deeper than ``max_depth`` and not queued before.
     With a ``budget`` an origin's attempts stop there, in queue order, and the tail is dropped.
+
+    ``ord`` is the path of ordinals to a page (at most ``max_depth`` + 1 numbers): comparing
+    paths is queue order, so no origin's rows have to meet in one task to be numbered.
     """
-    first = Window.partitionBy("origin", "url").orderBy("ord")
-    frontier = entries.select("origin", "url", F.lit("").alias("from_url"), F.lit(0).alias("depth"), F.lit(0).alias("batch"), F.col("ord").cast("long").alias("ord"))
-    frontier = frontier.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    good = links.where(F.col("fetchable") & F.col("confidence").isin("high", "medium")).select(F.col("from_url").alias("parent"), F.col("url").alias("target"), F.col("ord").alias("link"))
+    frontier = entries.groupBy("origin", "url").agg(F.array(F.min(F.col("ord").cast("long"))).alias("ord"))
+    frontier = frontier.select("origin", "url", F.lit("").alias("from_url"), F.lit(0).alias("depth"), F.lit(0).alias("batch"), "ord")
+    good = links.where(F.col("fetchable") & F.col("confidence").isin("high", "medium")).select(F.col("from_url").alias("parent"), F.col("url").alias("target"), F.col("ord").cast("long").alias("link"))
     visited, depth = None, 0
     while True:
-        frontier = saved(within_budget(frontier, visited, budget))
+        frontier = saved(within_budget(frontier, visited, budget), "frontier")
         visited = frontier if visited is None else visited.unionByName(frontier)
         if depth == max_depth or frontier.isEmpty():
             return visited
         depth += 1
-        found = frontier.join(good, frontier["url"] == good["parent"]).select("origin", F.col("target").alias("url"), F.col("url").alias("from_url"), F.struct(F.col("ord"), F.col("link")).alias("place"))
-        fresh = found.groupBy("origin", "url").agg(F.min(F.struct("place", "from_url")).alias("m")).join(visited.select("origin", "url"), ["origin", "url"], "left_anti")
-        order = Window.partitionBy("origin").orderBy("m.place", "url")
-        frontier = fresh.select("origin", "url", F.col("m.from_url").alias("from_url"), F.lit(depth).alias("depth"), F.lit(depth).alias("batch"), F.row_number().over(order).cast("long").alias("ord"))
+        found = frontier.join(good, frontier["url"] == good["parent"]).select("origin", F.col("target").alias("url"), F.struct(F.array_append("ord", F.col("link")).alias("ord"), F.col("url").alias("from_url")).alias("m"))
+        fresh = found.groupBy("origin", "url").agg(F.min("m").alias("m")).join(visited.select("origin", "url"), ["origin", "url"], "left_anti")
+        frontier = fresh.select("origin", "url", F.col("m.from_url").alias("from_url"), F.lit(depth).alias("depth"), F.lit(depth).alias("batch"), F.col("m.ord").alias("ord"))
 
 
 def within_budget(frontier: DataFrame, visited: DataFrame | None, budget: int) -> DataFrame:
-    """The head of the batch that an origin's remaining attempts allow."""
+    """The head of the batch that an origin's remaining attempts allow (C3); at most ``budget`` rows of an origin reach its window."""
     if not budget:
         return frontier
-    used = visited.groupBy("origin").agg(F.count(F.lit(1)).alias("_used")) if visited is not None else None
-    ranked = frontier.withColumn("_r", F.row_number().over(Window.partitionBy("origin").orderBy("ord")))
-    ranked = ranked.withColumn("_used", F.lit(0)) if used is None else ranked.join(used, "origin", "left")
-    return ranked.where(F.col("_r") + F.coalesce("_used", F.lit(0)) <= budget).drop("_r", "_used")
+    ranked = frontier.withColumn("_r", F.row_number().over(Window.partitionBy("origin").orderBy("ord", "url"))).where(F.col("_r") <= budget)
+    if visited is None:
+        return ranked.drop("_r")
+    used = visited.groupBy("origin").agg(F.count(F.lit(1)).alias("_used"))
+    return ranked.join(used, "origin", "left").where(F.col("_r") + F.coalesce("_used", F.lit(0)) <= budget).drop("_r", "_used")
 
 
 def outcomes(fetched: DataFrame) -> DataFrame:
