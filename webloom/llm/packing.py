@@ -178,6 +178,12 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 96, small: int
     return classes + [c for room in sorted(open_) for c in open_[room]]
 
 
+def best_plan(histogram: dict[int, int], capacity: int, groups: int = 96) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The plan with the fewest bins over a few bounds between small and large lengths."""
+    tried = [plan(histogram, capacity, groups, capacity * n // 16) for n in (6, 7, 8)]
+    return min(tried, key=lambda classes: sum(times for times, _ in classes))
+
+
 SEGMENTS = "length long, lo long, hi long, first_sequence long, per_bin long, at long"
 
 
@@ -204,7 +210,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, groups: int =
     spark = docs.sparkSession
     cut_up = saved(pieces(docs, tokenizer, capacity), "pieces")
     histogram = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = F.broadcast(spark.createDataFrame(segments(plan(histogram, capacity, groups)), SEGMENTS).coalesce(1))
+    places = F.broadcast(spark.createDataFrame(segments(best_plan(histogram, capacity, groups)), SEGMENTS).coalesce(1))
     ranked = numbered(cut_up, ["length"], ["doc_id", "piece"], "rank")
     place = ranked.join(places, "length").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     nth = F.col("rank") - F.col("lo")
