@@ -2,12 +2,14 @@
 
 Every 23-bit word is within 3 bits of exactly one codeword. Its *keys* are that
 codeword and, where the distance is 3, the five codewords at distance 4 besides.
-Two words that differ in at most 2 bits always share a key:
-
-* if one is within 2 - d of a codeword, the other is within 3 of it and so nearest to it;
-* else both are at distance 3 from theirs, and either one's nearest is at distance 3 or 4
-  from the other, or (2 bits away, both outward) the block through the first error and one
-  new bit is at distance 4 from both.
+Two words that differ in at most 2 bits always share a key. Let c be the nearest codeword
+of one of them. The other is within 5 bits of c:
+
+* within 3, c is its nearest codeword too;
+* at 4, its own nearest one is at distance 3 (each 4 errors lie in exactly one block of the
+  code's Steiner system), so its keys hold all codewords at distance 4, c among them;
+* at 5, the first word is at distance 3 and both errors point away from c: the block through
+  the 3 errors and one of the new ones is at distance 4 from both.
 
 The tests check this over all error patterns.
 """
