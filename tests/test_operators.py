@@ -61,3 +61,13 @@ def test_lists_sinks_and_artifacts(spark, tmp_path):
     assert sorted(paths.values())[1] == "d/a.js" and all(p.startswith("d/a") for p in paths.values())
     bodies = spark.createDataFrame([("var a = 1; window.x = a",), ("<!DOCTYPE html><p>var </p>",), ('{"var ": 1, "window.": 2}',), ("short",), ("import x from 'y'",)], "b string")
     assert [r[0] for r in bodies.select(io.looks_like_js(F.col("b"))).collect()] == [True, False, False, False, True]
+
+
+def test_candidates_without_an_entry_take_every_confirmed_base(spark):
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    static = spark.createDataFrame([(1, "", "/user/list?x=1", "", ""), (2, "https://a/", "/gw/one", "", ""), (3, "https://c/", "../up?q=2", "", ""), (4, "https://a/", "//cdn/api", "GET", "")], "static_id long, entry_url string, raw_url string, method string, source_js_url string")
+    static = static.withColumns({"query_params": none, "body_params": none, "type": F.lit(""), "source": F.lit("")})
+    bases = spark.createDataFrame([("https://b/gw", "https://a/", "https://b", "/gw", 3, 200, "confirmed"), ("https://d", "https://e/", "https://d", "", 2, 150, "confirmed"), ("https://f", "https://a/", "https://f", "", 9, 90, "candidate")], "runtime_base string, entry_url string, origin string, prefix string, evidence_count long, total_score long, confidence string")
+    entries = spark.createDataFrame([("https://a/",)], "entry_url string")
+    got = {r["static_id"]: r["resolved_candidates"] for r in association.candidates(association.reportable(static, entries), bases).collect()}
+    assert got == {1: ["https://b/gw/user/list", "https://d/user/list"], 2: ["https://b/gw/one"], 3: ["https://c/up?q=2"], 4: ["https://cdn/api"]}
