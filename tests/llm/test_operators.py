@@ -347,6 +347,16 @@ def brute_unigram(words, chunk):
     return best[-1][1]
 
 
+def test_very_long_chunks():
+    words = pieces.Vocabulary(tokenizer("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    for n in (13, 21, 257, 3000):
+        chunk = "".join(rng.choice("theinganord漢é🙂") for _ in range(n))
+        assert words.unigram_counts([chunk, "a"]) == [brute_unigram(words, chunk), 1]
+        assert words.agenda(chunk) == words.library.encode("\n" + chunk)[2:]
+    assert words.unigram_counts(["x" * 300_000])[0] > 0
+
+
 def test_trie_counts_match_brute_force(spark, docs, odd, empty):
     path = tokenizer("piece_bpe_32k.model")
     words = pieces.Vocabulary(path)

@@ -29,8 +29,8 @@ REMEMBERED = 400_000
 UNKNOWN_PENALTY = 10.0
 
 
-#: Rank of no pair, and the size of the table of pairs.
-NONE, SLOT_BITS = 1 << 30, 20
+#: Rank of no pair, and the sizes of the tables of pairs and pieces.
+NONE, SLOT_BITS, PIECE_BITS = 1 << 30, 20, 18
 
 
 def taken(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -40,6 +40,31 @@ def taken(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.nd
     return values[shift + np.arange(len(shift))]
 
 
+class Places:
+    """Open-addressed table of distinct 64-bit keys: the place of each, -1 for others."""
+
+    def __init__(self, keys: np.ndarray, bits: int) -> None:
+        self.keys, self.bits = np.append(keys.astype(np.uint64), np.uint64(0)), bits
+        self.slots = np.full(1 << bits, -1, dtype=np.int32)
+        for k, at in enumerate(self._slot(self.keys[:-1]).tolist()):
+            while self.slots[at] >= 0:
+                at = (at + 1) & ((1 << bits) - 1)
+            self.slots[at] = k
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found = self.slots[slot]
+        open_ = np.flatnonzero((self.keys[found] != keys) & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            found[open_] = self.slots[slot[open_]]
+            open_ = open_[(self.keys[found[open_]] != keys[open_]) & (found[open_] >= 0)]
+        return found
+
+
 class Met:
     """Ids of the chunks a worker has met: a number for each chunk, and all ids in one array."""
 
@@ -97,12 +122,7 @@ class Vocabulary:
         self.pair = np.array([x[0] for x in pairs] + [-1])
         self.merged = np.array([x[1] for x in pairs] + [0], dtype=np.int32)
         self.rank = np.array([x[2] for x in pairs] + [NONE], dtype=np.int32)
-        # Open addressing: the place of a pair, or the last (no pair) where a probe ends.
-        self.slots = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
-        for k, at in enumerate(self._slot(self.pair[:-1]).tolist()):
-            while self.slots[at] >= 0:
-                at = (at + 1) & ((1 << SLOT_BITS) - 1)
-            self.slots[at] = k
+        self.places = Places(self.pair[:-1], SLOT_BITS)
         self.spelled = [str(i) for i in range(len(model.pieces))]
         self._strings = {i: p for p, i in self.symbol.items()}
         self._symbols = np.full(0x110000, -1, dtype=np.int32)
@@ -156,22 +176,11 @@ class Vocabulary:
 
     # ------------------------------------------------------------ agenda, many chunks at once
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * BASE) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Place of each adjacent pair in the pair tables; the last place where they don't merge."""
+        """Place of each adjacent pair in the pair tables; -1, the last place, where they don't merge."""
         wanted = left.astype(np.int64) * self.many + right
         wanted[(left < 0) | (right < 0)] = -2
-        slot = self._slot(wanted)
-        found = self.slots[slot]
-        open_ = np.flatnonzero((self.pair[found] != wanted) & (found >= 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & ((1 << SLOT_BITS) - 1)
-            found[open_] = self.slots[slot[open_]]
-            open_ = open_[(self.pair[found[open_]] != wanted[open_]) & (found[open_] >= 0)]
-        return found
+        return self.places.of(wanted.view(np.uint64))
 
     def agendas(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``agenda`` of every chunk: all ids in a row, and how many each chunk has."""
@@ -239,11 +248,12 @@ class Vocabulary:
     # ------------------------------------------------------------ unigram counts over a trie
 
     @property
-    def _table(self) -> tuple[np.ndarray, np.ndarray, int, float]:
+    def _table(self) -> tuple[Places, np.ndarray, int, float]:
+        """Places of the pieces by hash, their scores, the longest piece, the score of an unknown character."""
         if not hasattr(self, "_hashed"):
-            pairs = sorted((int(_fold(p)), s) for p, s in self.score.items())
+            pieces = list(self.score)
             usual = [s for s in self.score.values() if s > -1e8]
-            self._hashed = (np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs]), max(map(len, self.score)), min(usual) - UNKNOWN_PENALTY)
+            self._hashed = (Places(np.array([_fold(p) for p in pieces], dtype=np.uint64), PIECE_BITS), np.array([*map(self.score.__getitem__, pieces), -np.inf]), max(map(len, pieces)), min(usual) - UNKNOWN_PENALTY)
         return self._hashed
 
     def unigram_counts(self, chunks: list[str]) -> list[int]:
@@ -253,25 +263,40 @@ class Vocabulary:
         distinct prefix, its forward score is computed once from those of its ancestors,
         and the node where a chunk ends holds the chunk's count.
         """
-        distinct = sorted(set(chunks))
-        ends: dict[str, int] = {}
-        for at in range(0, len(distinct), 4096):
-            part = distinct[at : at + 4096]
-            narrow = [c for c in part if len(c) <= 4 * WIDE]
-            if narrow:
-                ends.update(zip(narrow, self._trie(narrow), strict=True))
-            for c in part:
-                if len(c) > 4 * WIDE:
-                    ends[c] = self._trie([c])[0]
+        distinct, ends = sorted(set(chunks)), {}
+        left = 0
+        for width in (12, 20, 4 * WIDE):  # a trie for each range of lengths, so that one long chunk doesn't widen all
+            part = [c for c in distinct if left < len(c) <= width]
+            left = width
+            for at in range(0, len(part), 4096):
+                ends.update(zip(part[at : at + 4096], self._trie(part[at : at + 4096]), strict=True))
+        ends.update((c, self._single(c)) for c in distinct if len(c) > left)
         return [ends[c] for c in chunks]
 
+    def _single(self, chunk: str) -> int:
+        """Count of one very long chunk: a trie of one branch, walked character by character."""
+        _, _, longest, unknown = self._table
+        cost, count = [0.0], [0]
+        for d in range(1, len(chunk) + 1):
+            c = chunk[d - 1]
+            known = self.score.get(c)
+            best, fewest = (cost[d - 1] + known, count[d - 1] + 1) if known is not None else (cost[d - 1] + unknown, count[d - 1] + (len(c.encode("utf-8", "replace")) if self.bytes else 1))
+            for size in range(2, min(longest, d) + 1):
+                known = self.score.get(chunk[d - size : d])
+                if known is not None:
+                    score, tokens = cost[d - size] + known, count[d - size] + 1
+                    if score > best or (score == best and tokens < fewest):
+                        best, fewest = score, tokens
+            cost.append(best)
+            count.append(fewest)
+        return count[-1]
+
     def _trie(self, words: list[str]) -> list[int]:
-        hashes, scores, longest, unknown = self._table
+        places, scores, longest, unknown = self._table
         n, width = len(words), max(map(len, words))
-        codes = np.zeros((n, width), dtype=np.uint64)
-        for k, w in enumerate(words):
-            codes[k, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         lengths = np.array([len(w) for w in words])
+        codes = np.zeros((n, width), dtype=np.uint64)
+        codes[np.arange(width)[None, :] < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         prefix = np.zeros((n, width + 1), dtype=np.uint64)
         for d in range(width):
             prefix[:, d + 1] = prefix[:, d] * BASE + codes[:, d] + np.uint64(1)
@@ -288,18 +313,23 @@ class Vocabulary:
             new = rows[first]
             best, fewest = np.full(len(new), -np.inf), np.zeros(len(new), dtype=np.int64)
             for size in range(1, min(longest, d) + 1):
-                own = prefix[new, d] - prefix[new, d - size] * POWERS[size]
-                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                there = hashes[at] == own
+                at = places.of(prefix[new, d] - prefix[new, d - size] * POWERS[size])
+                there = at >= 0
+                if size > 1:  # few substrings are pieces: only those are weighed
+                    rows_ = np.flatnonzero(there)
+                    back = node[new[rows_], d - size]
+                    score, tokens = cost[back, d - size] + scores[at[rows_]], count[back, d - size] + 1
+                    better = (score > best[rows_]) | ((score == best[rows_]) & (tokens < fewest[rows_]))
+                    best[rows_[better]], fewest[rows_[better]] = score[better], tokens[better]
+                    continue
                 back = node[new, d - size]
-                score, tokens = cost[back, d - size] + np.where(there, scores[at], -np.inf), count[back, d - size] + 1
-                if size == 1 and not there.all():
+                score, tokens = cost[back, d - size] + scores[at], count[back, d - size] + 1
+                if not there.all():
                     c = codes[new, d - 1]
                     spelled = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF) if self.bytes else np.ones(len(c), dtype=np.int64)
                     score = np.where(there, score, cost[back, d - 1] + unknown)
                     tokens = np.where(there, tokens, count[back, d - 1] + spelled)
-                better = (score > best) | ((score == best) & (tokens < fewest))
-                best, fewest = np.where(better, score, best), np.where(better, tokens, fewest)
+                best, fewest = score, tokens.astype(np.int64)
             cost[new, d], count[new, d] = best, fewest
         return count[node[rows, lengths], lengths].tolist()
 
@@ -421,8 +451,10 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
             cut = [words.chunks(t or "") for t in batch.column(1).to_pylist()]
             if len(known) > REMEMBERED:
                 known.clear()
-            new = list({c for line in cut for c in line if c not in known})
+            found = [list(map(known.get, line)) for line in cut]
+            new = list({c for line, counts in zip(cut, found, strict=True) if None in counts for c, n in zip(line, counts, strict=True) if n is None})
             known.update(zip(new, words.unigram_counts(new), strict=True))
-            yield record_batch(_COUNTED, doc_id=batch.column(0), n_chunks=[len(line) for line in cut], n_tokens=[sum([known[c] for c in line]) for line in cut])
+            tokens = [sum(counts) if None not in counts else sum([known[c] for c in line]) for line, counts in zip(cut, found, strict=True)]
+            yield record_batch(_COUNTED, doc_id=batch.column(0), n_chunks=[len(line) for line in cut], n_tokens=tokens)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_chunks long, n_tokens long")
