@@ -42,6 +42,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 16 <<
             end = max(at + 1, min(at + rows, int(np.searchsorted(upto, room, side="right"))))
             yield batch.slice(at, end - at)
             at = end
+        pa.default_memory_pool().release_unused()
 
 
 def record_batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
