@@ -8,7 +8,8 @@ Base kinds (always reported, leftmost and not overlapping within a kind):
 
 The span of a kind is its whole match, in code points, end exclusive.
 
-``random`` spans are added by the battery. A token's encoding is inferred from its
+``random`` spans are added by the battery. Tokens have any length; of one that meets base
+spans, the parts outside them are judged. A token's encoding is inferred from its
 characters (hex, base32, base36, base64); of the hypothesis that it is a uniformly random string of
 that encoding, three p-values are taken: chi-squared uniformity of the alphabet, runs
 above and below the middle of the alphabet, and lag-1 serial correlation; Fisher's
@@ -42,7 +43,7 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_-])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 #: (name, characters, least length). The first whose characters cover the token is inferred.
 ENCODINGS = (
     ("hex", "0123456789abcdef", 24),
@@ -74,6 +75,8 @@ def inferred(token: str) -> tuple[int, str] | None:
         return None
     for k, (_, letters, least) in enumerate(ENCODINGS):
         if not token.strip(letters) and all(c in letters for c in token):
+            for pair in ("+/", "-_"):  # base64, its URL form and base62 differ; unused letters would fail every long token
+                letters = letters if any(c in token for c in pair) or pair[0] not in letters else letters.replace(pair, "")
             return (k, letters) if len(token) >= least else None
     return None
 
@@ -106,17 +109,36 @@ def fisher(ps: tuple[float, float, float]) -> float:
     return max(math.exp(-half) * (1 + half + half * half / 2), 1e-300)
 
 
+def parts(start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What is left of a token outside the base spans."""
+    left, at = [], start
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if a >= end:
+            break
+        if b > at:
+            if a > at:
+                left.append((at, a))
+            at = b
+    return left + [(at, end)] if at < end else left
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, bin) of the tokens that the battery judges; those that touch a base span are left out."""
+    """(start, end, stratum, bin) of the tokens, or their parts outside base spans, that the battery judges."""
     found = []
     for m in TOKEN.finditer(text):
         if not any(c.isdigit() for c in m[0]):
             continue
-        kind = inferred(m[0].rstrip("="))
-        if kind and not any(a < m.end() and m.start() < b for _, a, b in base):
-            p = fisher(battery(m[0].rstrip("="), kind[1]))
-            stratum = kind[0] * (len(CLASSES) + 1) + sum(len(m[0]) > c for c in CLASSES)
-            found.append((m.start(), m.end(), stratum, min(BINS - 1, int(-math.log(p) / WIDTH))))
+        for start, end in parts(m.start(), m.end(), base):
+            token = text[start:end].rstrip("=")
+            if start > m.start():  # what joins the part to a base span says nothing of its encoding
+                token = token.lstrip("+/_-")
+            if end < m.end():
+                token = token.rstrip("+/_-")
+            kind = inferred(token)
+            if kind:
+                p = fisher(battery(token, kind[1]))
+                stratum = kind[0] * (len(CLASSES) + 1) + sum(end - start > c for c in CLASSES)
+                found.append((start, end, stratum, min(BINS - 1, int(-math.log(p) / WIDTH))))
     return found
 
 
