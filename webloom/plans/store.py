@@ -58,6 +58,13 @@ def c1_c2_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.crawled(entry, edges, max_depth=4).select("url", "depth")
 
 
+def c1_c2_crawl_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl at the production depth, every 1000th page an entry; a test holds it against brute force."""
+    edges = sql(spark, sf_dir, LINKS, "pages").select(F.col("src").cast("string").alias("from_url"), F.col("dst").cast("string").alias("url"), "ord", F.lit("high").alias("confidence"), F.lit(True).alias("fetchable"))
+    entry = sql(spark, sf_dir, "SELECT 'o' AS origin, CAST(page_id AS STRING) AS url, page_id AS ord FROM pages WHERE page_id % 1000 = 0", "pages")
+    return C.crawled(entry, edges).select("url", "depth")
+
+
 def c3_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = sql(spark, sf_dir, LINKS, "pages").select(F.col("src").cast("string").alias("from_url"), F.col("dst").cast("string").alias("url"), "ord", F.lit("high").alias("confidence"), F.lit(True).alias("fetchable"))
     entry = sql(spark, sf_dir, "SELECT 'o' AS origin, '0' AS url, 0 AS ord", "pages")
