@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, and on nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -394,6 +395,50 @@ def test_quality_base_columns(spark, docs, odd, empty):
     assert quality_rules.judged(empty).count() == 0
 
 
+def plain_kept(metrics, spread=16.0, prior=200.0):
+    """doc_id: kept, with quartiles from sorted lists (sketches of fewer than 200 values are exact)."""
+    groups = {}
+    for r in metrics:
+        groups.setdefault((r["lang"], r["source"]), []).append(r)
+    at = lambda values, q: sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+    out = {}
+    for (lang, _), rows in groups.items():
+        weight = len(rows) / (len(rows) + prior)
+        fences = {}
+        for rule in quality_rules.RULES:
+            mine = [at([r[rule.metric] for r in rows], q) for q in quality_rules.QUARTILES]
+            theirs = [at([r[rule.metric] for r in metrics if r["lang"] == lang], q) for q in quality_rules.QUARTILES]
+            low, middle, high = (t + weight * (m - t) for m, t in zip(mine, theirs, strict=True))
+            half = spread * max(rule.least, min(middle - low, high - middle))
+            fences[rule.metric] = (middle - half, middle + half)
+        for r in rows:
+            base = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+            out[r["doc_id"]] = not base and all(a <= r[m] <= b for m, (a, b) in fences.items())
+    return out
+
+
+def styled(k, length, symbols=0):
+    """A text of 90 distinct words of about ``length`` letters, ``symbols`` of them followed by a mark."""
+    draw = random.Random(k)
+    words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(max(1, round(draw.gauss(length, length / 12))))) for _ in range(90)]
+    return " ".join(w + ("#$" if j < symbols else "") for j, w in enumerate(words))
+
+
+def test_fences_come_from_the_sketches(spark):
+    rows = [(k, styled(k, 5, 30 if k % 10 < 4 else 0), "en", "mixed") for k in range(90)]  # 40 % junk
+    rows += [(100 + k, styled(100 + k, 13), "en", "long") for k in range(60)]  # a source of long words
+    rows += [(200 + k, styled(200 + k, 13 if k == 7 else 5), "en", "short") for k in range(90)]
+    rows += [(300, styled(300, 5), "de", None), (301, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    metrics = quality_rules.measured(docs)
+    fences = {r["source"]: r for r in quality_rules.thresholds(metrics, 16.0, 2.0).where("lang = 'en'").collect()}
+    assert fences["long"]["mean_word_low"] > fences["short"]["mean_word_low"] + 1 and fences["long"]["mean_word_high"] > fences["short"]["mean_word_high"] + 3
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judged(docs, prior=2.0).collect()}
+    assert kept == plain_kept(metrics.collect(), prior=2.0)
+    assert all(kept[k] == (k % 10 >= 4) for k in range(90)) and all(kept[100 + k] for k in range(60))
+    assert not kept[207] and kept[206] and kept[107]  # words of one length: usual in one source, odd in the other
+
+
 def test_quality_keeps_clean_and_drops_symbols(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = [r for r in quality_rules.judged(spark.read.parquet(f"{SF}/documents.parquet")).collect() if r["doc_id"] in labels]
