@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from tests.conftest import SF
-from tests.llm.test_operators import brute_fingerprint, brute_windows, joined_by_distance
+from tests.llm.test_near_copies import plain_kept
+from tests.llm.test_operators import brute_windows
 from webloom.llm import secrets
 from webloom.llm.common import saved
 from webloom.llm.queries import op3_neighbour_quality
@@ -20,12 +21,7 @@ def test_stages_follow_the_plain_pipeline(spark):
         out[name] = {r["doc_id"]: r["text"] for r in rows.collect()}
     good = {r["doc_id"] for r in op3_neighbour_quality(spark, SF).where("predicted = 1").collect()}
     assert set(out["quality_classifier"]) == good
-    prints = {d: brute_fingerprint(t) for d, t in out["quality_classifier"].items()}
-    group = joined_by_distance(sorted(set(prints.values())))
-    first = {}
-    for d in sorted(prints):
-        first.setdefault(group[prints[d]], d)
-    assert set(out["simhash_near_dedup"]) == set(first.values())
+    assert set(out["simhash_near_dedup"]) == plain_kept(list(out["quality_classifier"].items()))
     told = {d: n for d, _, n, _ in brute_windows(list(out["simhash_near_dedup"].items()), 50)}
     for d, text in out["simhash_near_dedup"].items():
         assert (out["substring_dedup"][d] == text) == (told[d] == 0)

@@ -150,26 +150,25 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = 4000, rank: int = 64)
 
 
 def scored(docs: DataFrame, model: Latent, neighbours: int = 32, power: float = 8.0) -> DataFrame:
-    """All columns of ``docs`` and ``_score``."""
+    """The columns of ``docs`` as c0, c1, ... and ``score``, so that no name of the table can clash."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, at = docs.columns, docs.columns.index("text")
+    names, at = [f"c{k}" for k in range(len(docs.columns))], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = np.stack([terms(t) for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(rows, neighbours, power))], names=[f"c{k}" for k in range(len(names))] + ["_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(rows, neighbours, power))], names=[*names, "score"])
 
-    schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields)) + ", _score double"
-    out = docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, schema)
-    return out.toDF(*names, "_score")
+    return docs.toDF(*names).mapInArrow(run, "".join(f"c{k} {f.dataType.simpleString()}, " for k, f in enumerate(docs.schema.fields)) + "score double")
 
 
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 4000) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return scored(slim, fitted(docs, labels, most)).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    rows = scored(slim, fitted(docs, labels, most)).withColumnRenamed("c0", "doc_id")
+    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 4000) -> DataFrame:
     """The documents that the classifier doesn't reject, with their columns."""
-    return scored(docs, fitted(docs, labels, most)).where(F.col("_score") >= threshold).drop("_score")
+    return scored(docs, fitted(docs, labels, most)).where(F.col("score") >= threshold).drop("score").toDF(*docs.columns)

@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.storage import saved, shared_dir
+from webloom.functions.storage import discard, saved, shared_dir
 
-__all__ = ["WORD", "numbered", "record_batch", "saved", "shared_dir", "slices", "table", "utf8_bytes"]
+__all__ = ["WORD", "discard", "numbered", "record_batch", "saved", "shared_dir", "slices", "table", "utf8_bytes"]
 
 #: Words are maximal runs of characters other than \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import saved
+from webloom.llm.common import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,11 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
             labels = takes.select("node", F.col("to").alias("label"))
         else:
             moved = takes.withColumnsRenamed({"node": "label"})
-            labels = saved(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            before = labels
+            labels = saved(before.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            discard(before)
         first = saved(edges.join(takes.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").select("x", "b"), "half")
         second = first.join(takes.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        edges = saved(second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges")
-        turn += 1
+        left = saved(second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges")
+        discard(edges, first, *([takes] if turn else []))  # the first labels read the first takes
+        edges, turn = left, turn + 1
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 

@@ -5,6 +5,9 @@ bytes; a validator of each format then confirms structure and lengths from there
 tables, checksums, end marks) and gives the length. A confirmed format at offset 0 is the
 type of the value, whatever was declared; confirmed formats further inside are carved.
 
+A PDF ends at the first ``%%EOF`` after its first ``startxref``; where these marks stand is
+found once for a value, so many signatures in a long value cost no more than one.
+
 Null and empty values have type ``application/octet-stream`` and carve nothing. Equal
 values give equal results, so repeated rows agree.
 """
@@ -12,8 +15,10 @@ values give equal results, so repeated rows agree.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -84,13 +89,11 @@ def jpeg(b: memoryview, at: int) -> int:
         frame |= 0xC0 <= mark <= 0xC3
         p += 2 + int.from_bytes(b[p + 2 : p + 4], "big")
         if mark == 0xDA:
-            rest = bytes(b[p:])
-            k = 0
-            while (k := rest.find(b"\xff", k)) >= 0 and k + 1 < len(rest) and (rest[k + 1] == 0 or 0xD0 <= rest[k + 1] <= 0xD7):
-                k += 2
-            if k < 0:
+            whole = b.obj
+            while (p := whole.find(b"\xff", p)) >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
+                p += 2
+            if p < 0:
                 return 0
-            p += k
     return p + 2 - at if frame and bytes(b[p : p + 2]) == b"\xff\xd9" else 0
 
 
@@ -116,10 +119,19 @@ def gzip(b: memoryview, at: int) -> int:
     return p - len(unpack.unused_data) - at if unpack.eof else 0
 
 
+@lru_cache(maxsize=1)
+def _marks(whole: bytes) -> tuple[list[int], list[int]]:
+    """Where ``startxref`` starts and ``%%EOF`` ends."""
+    return [m.start() for m in re.finditer(b"startxref", whole)], [m.end() for m in re.finditer(b"%%EOF", whole)]
+
+
 def pdf(b: memoryview, at: int) -> int:
-    rest = bytes(b[at:])
-    end = rest.rfind(b"%%EOF")
-    return end + 5 if end > 0 and 0 <= rest.rfind(b"startxref", 0, end) and rest[5:6].isdigit() else 0
+    tables, ends = _marks(b.obj)
+    table = bisect_right(tables, at)
+    if not bytes(b[at + 5 : at + 6]).isdigit() or table == len(tables):
+        return 0
+    end = bisect_right(ends, tables[table] + 9)
+    return ends[end] - at if end < len(ends) else 0
 
 
 def flac(b: memoryview, at: int) -> int:
@@ -198,11 +210,16 @@ def samples(form: bytes) -> bytes:
     return form[p + 8 : p + 8 + int.from_bytes(form[p + 4 : p + 8], "little")]
 
 
-def media_row(text: str | None, declared: str = UNKNOWN) -> dict[str, object]:
+#: How a stored value of a sniffed type gives its payload back.
+READERS = {"audio/wav": samples}
+
+
+def media_row(text: str | None, declared: str | None = None) -> dict[str, object]:
+    declared = declared or UNKNOWN
     raw = (text or "").encode("utf-8", "surrogatepass")
     form = stored(raw + b" " * (-len(raw) % UNIT or (0 if raw else UNIT)))
     kind, wrong, inner = corrected(declared, form)
-    payload = samples(form)
+    payload = READERS[kind](form)
     mean = sum(payload) // len(payload)
     feature = f"{kind};pcm_u8;samples={len(payload)};mean={mean};declared={declared};corrected={str(wrong).lower()};embedded={','.join(f'{k}@{a}+{n}' for a, n, k in inner)}"
     return {
@@ -215,28 +232,43 @@ _MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_b
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """Texts stored as 8-bit samples, read back and described; one row per document."""
+def media_columns(docs: DataFrame, declared: str | None = None) -> DataFrame:
+    """Texts stored as 8-bit samples, read back by their sniffed type and described; one row per document.
+
+    ``declared`` names a column of media types that the rows declare; without it, or where
+    it is null, nothing is declared (application/octet-stream).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [media_row(t) for t in batch.column(1).to_pylist()]
+            rows = [media_row(t, d) for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield record_batch(_MEDIA, doc_id=batch.column(0), **{n: [r[n] for r in rows] for n in _MEDIA.names[1:]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MEDIA)
+    said = F.col(declared).cast("string") if declared else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long"), "text", said.alias("said")).mapInArrow(run, MEDIA)
+
+
+TYPED = ("media_type", "was_wrong", "carved")
 
 
 def typed(media: DataFrame, content: str = "content", declared: str = "declared") -> DataFrame:
-    """Adds to rows of binary ``content``: media_type, was_wrong, carved (offset, length, type and bytes)."""
-    names = media.columns
+    """Adds to rows of binary ``content``: media_type, was_wrong, carved (offset, length, type and bytes).
+
+    Columns of ``media`` with these names are replaced, unless they are ``content`` or
+    ``declared`` themselves: those are an error, as the result couldn't hold both.
+    """
+    if {content, declared} & set(TYPED):
+        raise ValueError(f"content and declared can't be columns named {', '.join(TYPED)}")
+    kept = media.select(*[F.col(f"`{c}`") for c in media.columns if c not in TYPED])
+    names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("media_type", pa.string()), ("content", pa.binary())]))
         for batch in slices(batches, 32):
-            out = [corrected(d, v or b"") for v, d in zip(batch.column(names.index(content)).to_pylist(), batch.column(names.index(declared)).to_pylist(), strict=True)]
-            values = batch.column(names.index(content)).to_pylist()
+            values = [v or b"" for v in batch.column(names.index(content)).to_pylist()]
+            out = [corrected(d, v) for v, d in zip(values, batch.column(names.index(declared)).to_pylist(), strict=True)]
             carved = [[{"offset": a, "length": n, "media_type": k, "content": v[a : a + n]} for a, n, k in o[2]] for v, o in zip(values, out, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o[0] for o in out]), pa.array([o[1] for o in out]), pa.array(carved, kind)], names=[*names, "media_type", "was_wrong", "carved"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o[0] for o in out]), pa.array([o[1] for o in out]), pa.array(carved, kind)], names=[*names, *TYPED])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return media.mapInArrow(run, f"{fields}, media_type string, was_wrong boolean, carved array<struct<offset:bigint,length:bigint,media_type:string,content:binary>>")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(run, f"{fields}, media_type string, was_wrong boolean, carved array<struct<offset:bigint,length:bigint,media_type:string,content:binary>>")

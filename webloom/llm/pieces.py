@@ -66,18 +66,20 @@ class Places:
 
 
 class Met:
-    """Ids of the chunks a worker has met: a number for each chunk, and all ids in one array."""
+    """Ids of the chunks a worker has met: a number for each chunk, all ids in one array, and whether the library agreed."""
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
         self.values, self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.agreed = np.zeros(1 << 14, bool)
         self.used = 0
 
-    def add(self, chunks: list[str], values: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, chunks: list[str], values: np.ndarray, sizes: np.ndarray, agreed: np.ndarray) -> None:
         """New chunks, in the order in which ``number`` already holds them."""
         first = len(self.number) - len(chunks)
         self.values = self._room(self.values, self.used + len(values))
-        self.starts, self.sizes = self._room(self.starts, len(self.number)), self._room(self.sizes, len(self.number))
+        self.starts, self.sizes, self.agreed = (self._room(x, len(self.number)) for x in (self.starts, self.sizes, self.agreed))
+        self.agreed[first : len(self.number)] = agreed
         self.values[self.used : self.used + len(values)] = values
         self.starts[first : len(self.number)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[first : len(self.number)] = sizes
@@ -361,11 +363,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("agenda_agrees", pa.bool_())])
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("agenda_agrees", pa.bool_()), ("whole_agrees", pa.bool_())])
+ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agenda_agrees boolean, whole_agrees boolean"
 
 
-def checked(words: Vocabulary, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Ids and sizes of ``chunks`` by the agenda, held against the library, whose word counts where they differ.
+def checked(words: Vocabulary, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and sizes of ``chunks`` by the agenda, and for each whether the library gives the same.
 
     The library puts a word mark before each text: a chunk with one is given without it,
     any other chunk behind a line end, whose ids are then taken off.
@@ -375,62 +378,65 @@ def checked(words: Vocabulary, chunks: list[str]) -> tuple[np.ndarray, np.ndarra
     bare = [c.startswith(MARK) and words.prefixed for c in chunks]
     told = words.library.encode([(c[1:] if b else "\n" + c).replace(MARK, " ") for c, b in zip(chunks, bare, strict=True)], num_threads=1)
     told = [[words.id[MARK]] if c == MARK else ids if b else ids[lead:] for c, b, ids in zip(chunks, bare, told, strict=True)]
-    lengths = np.array(list(map(len, told)), dtype=np.int64)
-    flat = np.fromiter(chain.from_iterable(told), np.int32, int(lengths.sum()))
-    return flat, lengths, bool(np.array_equal(lengths, sizes) and np.array_equal(flat, values))
-
-
-def encoded(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, agenda_agrees for every whole text.
-
-    The agenda's ids of every chunk that is new to a worker are compared with the
-    library's in each Arrow batch, and those of whole texts for the first slice of a batch; where
-    they differ (none is known) the library's count and agenda_agrees says so.
+    agreed = np.fromiter(map(len, told), np.int64, len(told)) == sizes
+    if agreed.all() and np.array_equal(np.fromiter(chain.from_iterable(told), np.int32, len(values)), values):
+        return values, sizes, agreed
+    ends = np.cumsum(sizes)
+    return values, sizes, np.array([values[b - n : b].tolist() == ids for b, n, ids in zip(ends.tolist(), sizes.tolist(), told, strict=True)], dtype=bool)
+
+
+def _digest(s: str) -> str:
+    return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def encoded_rows(words: Vocabulary, batch: pa.RecordBatch, every: int) -> pa.RecordBatch:
+    """The rows of one slice (doc_id, text): the agenda's ids of its chunks, put together."""
+    texts = [t or "" for t in batch.column(1).to_pylist()]
+    cut = [words.chunks(t) for t in texts]
+    if len(words.met.number) > REMEMBERED:
+        words.met = Met()
+    met = words.met
+    number = met.number
+    chunks = list(chain.from_iterable(cut))
+    rows = list(map(number.get, chunks))
+    new: list[str] = []
+    if None in rows:
+        for k in [k for k, r in enumerate(rows) if r is None]:
+            if chunks[k] not in number:
+                number[chunks[k]] = len(number)
+                new.append(chunks[k])
+            rows[k] = number[chunks[k]]
+    if new:
+        met.add(new, *checked(words, new))
+    at = np.array(rows, dtype=np.int64)
+    upto = np.cumsum([0, *map(len, cut)])
+    flat = taken(met.values, met.starts, met.sizes, at).tolist()
+    ends = np.concatenate([[0], np.cumsum(met.sizes[at])])[upto].tolist()
+    ids = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    wrong = np.concatenate([[0], np.cumsum(~met.agreed[at])])[upto]
+    whole: list[bool | None] = [None] * len(ids)
+    whole[::every] = [a == b for a, b in zip(ids[::every], words.library.encode(texts[::every], num_threads=1), strict=True)]
+    lines = [",".join(map(words.spelled.__getitem__, i)) for i in ids]
+    return record_batch(_ENCODED, doc_id=batch.column(0), n_tokens=list(map(len, ids)), ids_sha256=list(map(_digest, lines)), decoded_sha256=list(map(_digest, words.library.decode(ids))), agenda_agrees=(np.diff(wrong) == 0).tolist(), whole_agrees=whole)
+
+
+def encoded(docs: DataFrame, model: str, every: int = 4) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, agenda_agrees, whole_agrees for every whole text.
+
+    The ids are the agenda's. Those of every chunk that a worker meets are compared with
+    the library's (agenda_agrees: all chunks of the text agree), those of the first of
+    each ``every`` texts also as a whole (whole_agrees, null for the others): the cuts
+    between chunks are places that no piece of the vocabulary spans.
     Null texts are empty: no ids, digest of nothing. Repeated rows are encoded each. An
     empty table gives no rows. Columns other than doc_id and text are ignored.
     """
 
-    def digest(s: str) -> str:
-        return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-
-    def rows(words: Vocabulary, batch: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        cut = [words.chunks(t) for t in texts]
-        if len(words.met.number) > REMEMBERED:
-            words.met = Met()
-        met = words.met
-        number = met.number
-        every = list(chain.from_iterable(cut))
-        rows = list(map(number.get, every))
-        new: list[str] = []
-        if None in rows:
-            for k in [k for k, r in enumerate(rows) if r is None]:
-                if every[k] not in number:
-                    number[every[k]] = len(number)
-                    new.append(every[k])
-                rows[k] = number[every[k]]
-        agrees = True
-        if new:
-            values, sizes, agrees = checked(words, new)
-            met.add(new, values, sizes)
-        at = np.array(rows, dtype=np.int64)
-        flat = taken(met.values, met.starts, met.sizes, at).tolist()
-        ends = np.concatenate([[0], np.cumsum(met.sizes[at])])[np.cumsum([0, *map(len, cut)])].tolist()
-        ids = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        lines = [",".join(map(words.spelled.__getitem__, i)) for i in ids]
-        if whole:
-            told = words.library.encode(texts, num_threads=1)
-            agrees &= ids == told
-            ids, lines = told, [",".join(map(str, i)) for i in told]
-        return record_batch(_ENCODED, doc_id=batch.column(0), n_tokens=list(map(len, ids)), ids_sha256=list(map(digest, lines)), decoded_sha256=list(map(digest, words.library.decode(ids))), agenda_agrees=[agrees] * len(ids))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)
-        for batch in batches:
-            for k, part in enumerate(slices([batch], 128)):
-                yield rows(words, part, whole=k == 0)
+        for batch in slices(batches, 128):
+            yield encoded_rows(words, batch, every)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agenda_agrees boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
 
 
 _COUNTED = pa.schema([("doc_id", pa.int64()), ("n_chunks", pa.int64()), ("n_tokens", pa.int64())])

@@ -1,15 +1,19 @@
 """K-d tree sharding by bytes, with DataFrame operations only.
 
 Every document is a point: scaled logarithm of its size, language, source and document
-id. A node that stands for m shards is cut along its widest dimension at the weighted
-quantile ceil(m/2)/m, until every leaf stands for one shard of total/shards bytes.
+id. A node that stands for m shards is cut along the widest dimension of its box at the
+weighted quantile ceil(m/2)/m, until every leaf stands for one shard of total/shards bytes.
 
 * Equal texts are one point (smallest language, source and id of the group), so they
-  share a shard, unless the group weighs more than ``hot`` of a shard: its rows are
-  then dealt by document id like different points, so no copy makes a shard too large.
-* The weighted quantile is found by radix descent: each round sums bytes into at most
-  1024 bins a node and only these sums reach the driver (at most 1024 x shards rows).
-  Ties in the dimension are broken by a hash that is part of the descended key.
+  share a shard. Only a group that weighs more than a shard is split: its rows are dealt
+  by document id like different points.
+* Points of a 1/``HEAVY`` of a shard or more are few (at most ``HEAVY`` x shards): they are
+  dealt to the sides of a cut first, in their order along its dimension, and the threshold
+  of all others is set so that both sides together are as large as they should be.
+* The weighted quantile is found by histograms: each round sums bytes into at most 4096
+  bins a node and only these sums reach the driver; two or three rounds a level do, as
+  boxes and weights of a level follow from the cuts above it. Ties in the dimension are
+  broken by a hash that is part of the key.
 
 Null texts count as empty ones; null language and source are values of their own;
 repeated rows are kept, each with its own slot; an empty table gives no rows; columns
@@ -18,25 +22,39 @@ other than doc_id, text, lang and source are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import numbered, saved, utf8_bytes
+from webloom.llm.common import discard, numbered, saved, utf8_bytes
 
-BITS, STEP = 62, 10
 HALF = 1 << 31
+STEP = 12
 DIMENSIONS = ("d_size", "d_lang", "d_source", "d_id")
+#: Points of this part of a shard or more are dealt one by one.
+HEAVY = 64
+
+
+@dataclass
+class Heavy:
+    unit: int
+    size: int
+    at: dict[str, int]
+    tie: int
 
 
 @dataclass
 class Node:
-    """An inner node once ``at`` is set: keys of ``dimension`` below ``at`` go left."""
+    """An inner node once ``left`` is set: keys of ``dimension`` below ``at`` go left. ``size``: bytes of its light points."""
 
     name: int
     first: int
     shards: int
+    size: int
+    box: dict[str, tuple[int, int]]
+    heavy: list[Heavy] = field(default_factory=list)
     dimension: str = ""
     at: int = 0
     left: Node | None = None
@@ -58,8 +76,8 @@ def leaves(node: Node) -> list[Node]:
     return [node] if node.left is None else leaves(node.left) + leaves(node.right)
 
 
-def points(docs: DataFrame, shards: int, hot: float) -> DataFrame:
-    """Saved narrow table: doc_id, size, text_crc32, dimensions and tie of every row."""
+def points(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
+    """Saved narrow table (doc_id, size, text_crc32, dimensions, tie, unit, heavy) of every row, and the sum of sizes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = saved(
         docs.select(
@@ -69,105 +87,124 @@ def points(docs: DataFrame, shards: int, hot: float) -> DataFrame:
         "slim",
     )
     by = ["h", "text_crc32", "size"]
-    groups = saved(slim.groupBy(*by).agg(F.sum("size").alias("bytes"), F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("doc_id").alias("first")), "texts")
+    groups = saved(slim.groupBy(*by).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("doc_id").alias("first")), "texts")
     seen = groups.agg(F.sum("bytes").alias("bytes"), *[f(c).alias(f"{c}_{n}") for c in ("size", "lang", "source", "first") for n, f in (("min", F.min), ("max", F.max))]).first()
+    total = seen["bytes"] or 0
 
     def scaled(value: Column, low: float | None, high: float | None) -> Column:
         low, high = float(low or 0), float(high or 0)
         return F.least(F.lit(HALF - 1), F.greatest(F.lit(0), F.floor((F.coalesce(value, F.lit(0)) - F.lit(low)) / F.lit(max(high - low, 1e-9)) * F.lit(HALF - 1)))).cast("long")
 
-    log = lambda x: F.log2(x.cast("double"))
-    import math
-
-    limit = (seen["bytes"] or 0) / shards * hot
-    split = F.col("bytes") > F.col("size") + F.lit(limit)
-    tie = F.pmod(F.when(split, F.xxhash64("doc_id", "h")).otherwise(F.xxhash64("h", "text_crc32")), F.lit(HALF))
+    split = (F.col("bytes") > F.lit(total / shards)) & (F.col("n") > 1)
+    unit = F.when(split, F.xxhash64("doc_id", "h", "text_crc32")).otherwise(F.xxhash64("h", "text_crc32", "size"))
     grouped = groups.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    return saved(
+    rows = saved(
         slim.drop("lang", "source").join(grouped, by).select(
             "doc_id", "size", "text_crc32",
-            scaled(log(F.col("size")), math.log2(seen["size_min"] or 1), math.log2(seen["size_max"] or 1)).alias("d_size"),
+            scaled(F.log2(F.col("size").cast("double")), math.log2(seen["size_min"] or 1), math.log2(seen["size_max"] or 1)).alias("d_size"),
             scaled(F.col("g_lang"), seen["lang_min"], seen["lang_max"]).alias("d_lang"),
             scaled(F.col("g_source"), seen["source_min"], seen["source_max"]).alias("d_source"),
             scaled(F.when(split, F.col("doc_id")).otherwise(F.col("first")), seen["first_min"], seen["first_max"]).alias("d_id"),
-            tie.cast("long").alias("tie"),
+            F.pmod(unit, F.lit(HALF)).alias("tie"), unit.alias("unit"), (F.when(split, F.col("size")).otherwise(F.col("bytes")) >= F.lit(max(total / shards / HEAVY, 1))).alias("heavy"),
         ),
         "points",
     )
-
-
-def cut(rows: DataFrame, root: Node, open_: list[Node], tolerance: float) -> None:
-    """Find dimension and threshold of every open node, all nodes of a level together."""
-    names = F.when(F.lit(False), F.lit(-1))
-    placed = rows.withColumn("node", place(root)).where(F.col("node").isin([n.name for n in open_]))
-    extents = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{d}_{n}") for d in DIMENSIONS for n, f in (("min", F.min), ("max", F.max))]).collect()}
-    state: dict[int, list[int]] = {}  # name: prefix of the straddling bin, bytes before it, bytes wanted on the left
-    for n in open_:
-        x = extents.get(n.name)
-        spread = {d: (x[f"{d}_max"] - x[f"{d}_min"]) if x else 0 for d in DIMENSIONS}
-        n.dimension = max(DIMENSIONS, key=lambda d: spread[d])
-        state[n.name] = [0, 0, round((x["bytes"] if x else 0) * (n.shards - n.shards // 2) / n.shards)]
-    shift, live = BITS, {n.name: n for n in open_ if n.name in extents}
-    chosen = names
+    discard(slim, groups)
+    return rows, total
+
+
+def aside(node: Node, wanted: float, room: float) -> list[Heavy]:
+    """Heavy points for the left side of the cut: those first along its dimension, if neither side gets more
+    than it can hold; else the heaviest first, each to the side with more room."""
+    own = sorted(node.heavy, key=lambda h: (h.at[node.dimension] * HALF + h.tie, h.unit))
+    total, upto, best = sum(h.size for h in own), 0, None
+    share = wanted / (wanted + room) if wanted + room else 0.5
+    for k in range(len(own) + 1):
+        if upto <= wanted and total - upto <= room and (best is None or abs(upto - total * share) < abs(best[1] - total * share)):
+            best = (k, upto)
+        upto += own[k].size if k < len(own) else 0
+    if best:
+        return own[: best[0]]
+    left: list[Heavy] = []
+    for h in sorted(own, key=lambda h: (-h.size, h.unit)):
+        if wanted >= room:
+            left.append(h)
+            wanted -= h.size
+        else:
+            room -= h.size
+    return left
+
+
+def cut(light: DataFrame, root: Node, open_: list[Node], tolerance: float, names: int) -> None:
+    """Dimension, threshold and sides of every open node, all nodes of a level together."""
+    chosen, sides, low, shift, below, wanted = F.lit(0).cast("long"), {}, {}, {}, {}, {}
     for n in open_:
-        chosen = chosen.when(F.col("node") == n.name, key(n.dimension))
-    keyed = placed.select("node", "size", chosen.alias("k"))
-    for n in open_:
-        n.at = 1 << BITS
-    while live and shift > 0:
-        step = min(STEP, shift)
-        inside = F.lit(False)
-        for name in live:
-            inside = inside | ((F.col("node") == name) & (F.shiftright("k", shift) == F.lit(state[name][0])))
+        n.dimension = max(DIMENSIONS, key=lambda d: n.box[d][1] - n.box[d][0])
+        chosen = F.when(F.col("node") == n.name, key(n.dimension)).otherwise(chosen)
+        many = n.shards - n.shards // 2
+        total = n.size + sum(h.size for h in n.heavy)
+        left = aside(n, total * many / n.shards, total * (n.shards - many) / n.shards)
+        kept = {h.unit for h in left}
+        sides[n.name] = left, [h for h in n.heavy if h.unit not in kept]
+        wanted[n.name] = min(max(total * many / n.shards - sum(h.size for h in left), 0), n.size)
+        low[n.name], span = n.box[n.dimension][0] * HALF, (n.box[n.dimension][1] - n.box[n.dimension][0] + 1) * HALF
+        shift[n.name], below[n.name] = max((span - 1).bit_length() - STEP, 0), 0
+        n.at = low[n.name]
+    keyed = light.withColumn("node", place(root)).where(F.col("node").isin([n.name for n in open_])).select("node", "size", chosen.alias("k"))
+    live = {n.name: n for n in open_ if n.size}
+    while live:
+        bin_ = F.lit(None).cast("long")
+        for name in live:  # the interval that is left of a node, in 2**STEP bins
+            place_ = F.shiftright(F.col("k") - F.lit(low[name]), shift[name])
+            bin_ = F.when(F.col("node") == name, F.when((F.col("k") >= F.lit(low[name])) & (place_ < (1 << STEP)), place_)).otherwise(bin_)
         sums: dict[int, list[tuple[int, int]]] = {}
-        for r in keyed.where(inside).groupBy("node", F.shiftright("k", shift - step).alias("bin")).agg(F.sum("size").alias("bytes")).collect():
+        for r in keyed.select("node", "size", bin_.alias("bin")).where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("bytes")).collect():
             sums.setdefault(r["node"], []).append((r["bin"], r["bytes"]))
-        shift -= step
         for name, node in list(live.items()):
-            prefix, before, wanted = state[name]
-            for bin_, weight in sorted(sums.get(name, [])):
-                if before + weight >= wanted:
-                    state[name] = [bin_, before, wanted]
-                    nearest = bin_ + (wanted - before > before + weight - wanted)
-                    node.at = nearest << shift
-                    if weight <= tolerance:
+            for b, weight in sorted(sums.get(name, [])):
+                start, before = low[name] + (b << shift[name]), below[name]
+                if before + weight >= wanted[name]:
+                    after = wanted[name] - before > before + weight - wanted[name]
+                    node.at = start + (after << shift[name])
+                    if weight <= tolerance or not shift[name]:
+                        below[name] = before + weight * after
                         del live[name]
+                    else:
+                        low[name], shift[name] = start, max(shift[name] - STEP, 0)
                     break
-                before += weight
+                below[name] += weight
             else:
+                node.at = start + (1 << shift[name])
                 del live[name]
+    for n in open_:
+        many, edge = n.shards - n.shards // 2, n.at // HALF
+        (left, right), (a, b) = sides[n.name], n.box[n.dimension]
+        n.left = Node(names, n.first, many, below[n.name], n.box | {n.dimension: (a, min(max(edge, a), b))}, left)
+        n.right = Node(names + 1, n.first + many, n.shards - many, n.size - below[n.name], n.box | {n.dimension: (max(min(edge, b), a), b)}, right)
+        names += 2
 
 
 def tree(rows: DataFrame, shards: int, tolerance: float) -> Node:
-    root, made = Node(0, 0, shards), 1
+    light = rows.where(~F.col("heavy")).select("size", "tie", *DIMENSIONS)
+    seen = rows.agg(F.sum(F.when(~F.col("heavy"), F.col("size"))).alias("size"), *[f(d).alias(f"{d}_{n}") for d in DIMENSIONS for n, f in (("min", F.min), ("max", F.max))]).first()
+    heavy = rows.where("heavy").groupBy("unit").agg(F.sum("size").alias("size"), *[F.min(c).alias(c) for c in (*DIMENSIONS, "tie")]).collect()  # at most HEAVY x shards
+    root = Node(0, 0, shards, seen["size"] or 0, {d: (seen[f"{d}_min"] or 0, seen[f"{d}_max"] or 0) for d in DIMENSIONS}, [Heavy(h["unit"], h["size"], {d: h[d] for d in DIMENSIONS}, h["tie"]) for h in heavy])
+    names = 1
     while open_ := [n for n in leaves(root) if n.shards > 1]:
-        cut(rows, root, open_, tolerance)
-        for n in open_:
-            many = n.shards - n.shards // 2
-            n.left, n.right = Node(made, n.first, many), Node(made + 1, n.first + many, n.shards - many)
-            made += 2
+        cut(light, root, open_, tolerance, names)
+        names += 2 * len(open_)
     return root
 
 
-def sharded(docs: DataFrame, shards: int = 24, hot: float = 0.05) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: not a key law)."""
-    rows = points(docs, shards, hot)
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    rows, total = points(docs, shards)
     root = tree(rows, shards, total / shards * 0.001)
-    shard = F.element_at(F.array(*[F.lit(s) for s in _by_name(root)]), place(root) + 1)
-    placed = rows.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"))
+    own = [(h.unit, leaf.first) for leaf in leaves(root) for h in leaf.heavy]
+    dealt = F.broadcast(docs.sparkSession.createDataFrame(own, "unit long, own int"))  # at most HEAVY x shards rows
+    first = {n.name: n.first for n in leaves(root)}
+    shard = F.element_at(F.array(*[F.lit(first.get(k, 0)) for k in range(max(first) + 1)]), place(root) + 1)
+    light = rows.where(~F.col("heavy")).withColumn("shard", shard.cast("int"))
+    heavy = rows.where("heavy").join(dealt, "unit").withColumn("shard", F.col("own"))
+    placed = light.select("doc_id", "size", "text_crc32", "shard").union(heavy.select("doc_id", "size", "text_crc32", "shard"))
     return numbered(placed, ["shard"], ["doc_id", "text_crc32"], "slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _by_name(root: Node) -> list[int]:
-    """First shard of each node, by name."""
-    found: dict[int, int] = {}
-
-    def walk(n: Node) -> None:
-        found[n.name] = n.first
-        if n.left is not None:
-            walk(n.left)
-            walk(n.right)
-
-    walk(root)
-    return [found[k] for k in sorted(found)]
