@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import js_lexer, urls
@@ -83,10 +83,16 @@ def scanned(js: DataFrame, limit: int = 5 << 20) -> DataFrame:
     return js.select("url", "body").mapInArrow(run, f"url string, body string, lex {LEXED}")
 
 
-def _found(js: DataFrame, pattern: str, *groups: str) -> DataFrame:
-    """One row for each match with its ordinal and groups; keeps the columns of ``js``."""
-    each = js.select("*", F.posexplode(F.regexp_extract_all("body", F.lit(pattern), F.lit(0))).alias("ord", "match"))
-    return each.select("*", *[F.regexp_extract("match", pattern, k + 1).alias(g) for k, g in enumerate(groups)])
+def _matches(pattern: str, groups: int, text: Column | None = None) -> Column:
+    """Every match of the body as a struct: match, g1, g2, ..."""
+    found = F.regexp_extract_all(F.col("body") if text is None else text, F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda m: F.struct(m.alias("match"), *[F.regexp_extract(m, pattern, k + 1).alias(f"g{k + 1}") for k in range(groups)]))
+
+
+def _rows(js: DataFrame, found: Column) -> DataFrame:
+    """One row for each finding of an array of structs: url, ord and its fields."""
+    each = js.select("url", F.posexplode(found).alias("ord", "f"))
+    return each.select("url", F.col("ord").cast("long").alias("ord"), "f.*")
 
 
 def import_url(raw: Column, base: Column) -> Column:
@@ -94,57 +100,97 @@ def import_url(raw: Column, base: Column) -> Column:
     return F.when(raw.rlike("^https?://"), raw).when(raw.rlike(r"^(/|\./|\.\./)"), urls.joined(base, raw)).otherwise(F.lit(""))
 
 
-def _imports(df: DataFrame, framework: str, source: str, confidence: Column, component: Column | None = None, deps: Column | None = None) -> DataFrame:
-    return df.select(
-        "url", F.col("ord").cast("long").alias("ord"), "raw", "resolved_url", F.lit(framework).alias("framework"), F.lit(source).alias("source"), confidence.alias("confidence"),
-        (F.lit("") if component is None else component).alias("component"), (F.array().cast(NO_STRINGS) if deps is None else deps).alias("deps"),
+def _strings() -> Column:
+    return F.array().cast(NO_STRINGS)
+
+
+def _import(raw: Column, resolved: Column, framework: str, source: str, confidence: Column, component: Column | None = None, deps: Column | None = None) -> Column:
+    return F.struct(
+        raw.alias("raw"), resolved.alias("resolved_url"), F.lit(framework).alias("framework"), F.lit(source).alias("source"), confidence.alias("confidence"),
+        (F.lit("") if component is None else component).alias("component"), (_strings() if deps is None else deps).alias("deps"),
+    )
+
+
+def _route(route: Column, component: Column, lazy_js: Column, framework: str, source: str, confidence: Column, deps: Column | None = None) -> Column:
+    return F.struct(
+        route.alias("route"), component.alias("component"), lazy_js.alias("lazy_js"), F.lit(framework).alias("framework"), F.lit(source).alias("source"), confidence.alias("confidence"),
+        (_strings() if deps is None else deps).alias("deps"),
     )
 
 
+def _asset(asset_url: Column, framework: str, source: Column, confidence: Column, kind: Column | None = None) -> Column:
+    return F.struct(asset_url.alias("asset_url"), (F.lit("lazy_chunk_js") if kind is None else kind).alias("type"), F.lit(framework).alias("framework"), source.alias("source"), confidence.alias("confidence"))
+
+
+def _none(like: Column) -> Column:
+    return F.slice(like, 1, 0)
+
+
+def dynamic_imports_in(framework: str = "", source: str = "import_expression", sure: str = "") -> Column:
+    raws = F.transform(_matches(DYNAMIC_IMPORT, 3), lambda m: F.concat(m["g1"], m["g2"], m["g3"]))
+    named = F.transform(raws, lambda r: F.struct(r.alias("raw"), r.contains("${").alias("open"), F.when(r.contains("${"), "").otherwise(import_url(r, F.col("url"))).alias("to")))
+    confidence = lambda x: F.lit(sure) if sure else F.when(x["open"], "low").when(x["to"] == "", "medium").otherwise("high")
+    component = lambda x: F.when(~x["open"] & x["raw"].rlike("component|Component|view|page"), x["raw"]).otherwise(F.lit(""))
+    return F.transform(named, lambda x: _import(x["raw"], x["to"], framework, source, confidence(x), component(x)))
+
+
+def _known(raws: Column, framework: str) -> Column:
+    named = F.transform(raws, lambda r: F.struct(r.alias("raw"), import_url(r, F.col("url")).alias("to")))
+    return F.transform(named, lambda x: _import(x["raw"], x["to"], framework, "import_expression", F.when(x["to"] == "", "medium").otherwise("high")))
+
+
+def static_imports_in(framework: str = "") -> Column:
+    return _known(F.concat(*[F.transform(_matches(p, 1), lambda m: m["g1"]) for p in (STATIC_IMPORT, STATIC_EXPORT)]), framework)
+
+
+def token_imports_in(framework: str = "") -> Column:
+    by_tokens = _known(F.col("lex.imports"), framework)
+    by_pattern = F.concat(dynamic_imports_in(framework), static_imports_in(framework))
+    return F.when(F.col("lex.parse_ok"), by_tokens).when(F.col("lex").isNotNull(), by_pattern).otherwise(_none(by_tokens))
+
+
+def routes_in(framework: str = "") -> Column:
+    # A character is a byte or more; one that the 500th byte cuts in two belongs to no import.
+    ahead = lambda m: F.substring(F.col("body"), F.instr(F.col("body"), m["match"]), F.lit(500))
+    near = lambda t: F.when(F.octet_length(t) <= 500, t).otherwise(F.make_valid_utf8(F.substring(F.encode(t, "utf-8"), 1, 500).cast("string")))
+    found = F.transform(_matches(ROUTE, 1), lambda m: F.struct(m["g1"].alias("route"), ahead(m).alias("t")))
+    found = F.transform(found, lambda x: F.struct(x["route"].alias("route"), F.regexp_extract(near(x["t"]), COMPONENT, 1).alias("component")))
+    return F.transform(found, lambda x: _route(x["route"], x["component"], F.lit(""), framework, "regex_candidate", F.when(x["component"] != "", "medium").otherwise("low")))
+
+
+def token_routes_in(framework: str = "") -> Column:
+    by_tokens = F.transform(F.col("lex.routes"), lambda r: _route(r, F.lit(""), F.lit(""), framework, "ast", F.lit("high")))
+    return F.when(F.col("lex.parse_ok"), by_tokens).when(F.col("lex").isNotNull(), routes_in(framework)).otherwise(_none(by_tokens))
+
+
+def paths_in() -> Column:
+    found = F.regexp_extract_all("body", F.lit(JS_PATH), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda p: urls.joined(F.col("url"), p)))
+
+
 def dynamic_imports(js: DataFrame, framework: str = "") -> DataFrame:
     """import() with a literal; templates with expressions stay unresolved."""
-    rows = _found(js, DYNAMIC_IMPORT, "a", "b", "c").withColumn("raw", F.concat("a", "b", "c"))
-    open_ = F.col("raw").contains("${")
-    rows = rows.withColumn("resolved_url", F.when(open_, "").otherwise(import_url(F.col("raw"), F.col("url"))))
-    confidence = F.when(open_, "low").when(F.col("resolved_url") == "", "medium").otherwise("high")
-    component = F.when(~open_ & F.col("raw").rlike("component|Component|view|page"), F.col("raw")).otherwise(F.lit(""))
-    return _imports(rows, framework, "import_expression", confidence, component)
+    return _rows(js, dynamic_imports_in(framework))
 
 
 def static_imports(js: DataFrame, framework: str = "") -> DataFrame:
     """import and re-export statements, imports first."""
-    both = _found(js, STATIC_IMPORT, "raw").withColumn("part", F.lit(0)).unionByName(_found(js, STATIC_EXPORT, "raw").withColumn("part", F.lit(1)))
-    rows = both.withColumns({"ord": F.col("part") * 1_000_000 + F.col("ord"), "resolved_url": import_url(F.col("raw"), F.col("url"))})
-    return _imports(rows, framework, "import_expression", F.when(F.col("resolved_url") == "", "medium").otherwise("high"))
+    return _rows(js, static_imports_in(framework))
 
 
 def token_imports(lexed: DataFrame, framework: str = "") -> DataFrame:
     """Specifiers that the lexer finds; where it fails, J1 and J2 instead."""
-    good = lexed.where("lex.parse_ok").select("url", "body", F.posexplode("lex.imports").alias("ord", "raw"))
-    good = good.withColumn("resolved_url", import_url(F.col("raw"), F.col("url")))
-    rows = _imports(good, framework, "import_expression", F.when(F.col("resolved_url") == "", "medium").otherwise("high"))
-    bad = lexed.where("lex is not null and not lex.parse_ok")
-    later = static_imports(bad, framework).withColumn("ord", F.col("ord") + 1_000_000_000)
-    return rows.unionByName(dynamic_imports(bad, framework)).unionByName(later)
+    return _rows(lexed, token_imports_in(framework))
 
 
 def token_routes(lexed: DataFrame, framework: str = "") -> DataFrame:
     """Route properties that the lexer finds, else J8."""
-    good = lexed.where("lex.parse_ok").select("url", F.posexplode("lex.routes").alias("ord", "route"))
-    rows = _routes(good.withColumns({"component": F.lit(""), "lazy_js": F.lit("")}), framework, "ast", F.lit("high"))
-    return rows.unionByName(routes(lexed.where("lex is not null and not lex.parse_ok"), framework))
-
-
-def _routes(df: DataFrame, framework: str, source: str, confidence: Column, deps: Column | None = None) -> DataFrame:
-    return df.select("url", F.col("ord").cast("long").alias("ord"), "route", "component", "lazy_js", F.lit(framework).alias("framework"), F.lit(source).alias("source"), confidence.alias("confidence"), (F.array().cast(NO_STRINGS) if deps is None else deps).alias("deps"))
+    return _rows(lexed, token_routes_in(framework))
 
 
 def routes(js: DataFrame, framework: str = "") -> DataFrame:
-    """Route literals; a component import within 500 characters of the first such text lifts confidence."""
-    rows = _found(js, ROUTE, "route")
-    near = F.substring(F.col("body"), F.instr("body", F.col("match")), F.lit(500))
-    rows = rows.withColumns({"component": F.regexp_extract(near, COMPONENT, 1), "lazy_js": F.lit("")})
-    return _routes(rows, framework, "regex_candidate", F.when(F.col("component") != "", "medium").otherwise("low"))
+    """Route literals; a component import within 500 bytes of the first such text lifts confidence."""
+    return _rows(js, routes_in(framework))
 
 
 def source_map_urls(js: DataFrame) -> DataFrame:
@@ -162,9 +208,7 @@ def all_source_map_urls(js: DataFrame) -> DataFrame:
 
 def quoted_paths(js: DataFrame) -> DataFrame:
     """Quoted script paths, resolved, distinct in order."""
-    found = F.regexp_extract_all("body", F.lit(JS_PATH), F.lit(1))
-    rows = js.select("url", F.posexplode(F.array_distinct(F.transform(found, lambda p: urls.joined(F.col("url"), p)))).alias("ord", "asset_url"))
-    return rows.select("url", F.col("ord").cast("long").alias("ord"), "asset_url")
+    return _rows(js, F.transform(paths_in(), lambda p: F.struct(p.alias("asset_url"))))
 
 
 def detected(body: Column, url: Column) -> Column:
@@ -211,18 +255,34 @@ def dispatched(js: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- bundlers
 
 
-def map_deps(js: DataFrame) -> DataFrame:
-    """Vite dependency lists by index into the table of the definition; style sheets are skipped."""
-    table = F.regexp_extract_all(F.regexp_extract("body", MAP_DEPS_TABLE, 1), F.lit(r"\"([^\"]+)\""), F.lit(1))
-    rows = _found(js.withColumn("table", table), MAP_DEPS, "list").withColumn("indices", F.filter(F.transform(F.split("list", ","), lambda x: F.trim(F.regexp_replace(x, r"\s", "")).try_cast("int")), lambda x: x.isNotNull()))
-    named = F.filter(F.transform("indices", lambda i: F.get("table", i)), lambda d: d.isNotNull() & ~F.lower(d).endswith(".css") & ~F.lower(d).contains(".css?"))
-    rows = rows.withColumns({"deps": F.transform(named, lambda d: urls.joined(F.col("url"), d)), "raw": F.col("match"), "resolved_url": F.lit("")}).where(F.size("deps") > 0)
-    return _imports(rows, "vite", "vite_map_deps", F.lit("medium"), deps=F.col("deps"))
+def prepared(js: DataFrame) -> DataFrame:
+    """Adds what several findings of a bundler read: Vite's dependency table, webpack's public path, file name
+    template, hashes (last entry of an id wins) and name rule (J16), and Next's build manifest."""
+    entries = F.flatten(F.transform(F.regexp_extract_all("body", F.lit(HASH_MAP), F.lit(1)), lambda b: _matches(HASH_ENTRY, 2, b)))
+    of = lambda keys, c: F.when(F.col("route_key").isin(*keys), c) if "route_key" in js.columns else c
+    rule = F.coalesce("lex.rule", F.lit("")) if "lex" in js.columns else F.lit("")
+    first = js.withColumns(
+        {
+            "table": of(["vite"], F.regexp_extract_all(F.regexp_extract("body", MAP_DEPS_TABLE, 1), F.lit(r"\"([^\"]+)\""), F.lit(1))),
+            "entries": of(["webpack", "angular"], entries),
+            "public": of(["webpack", "angular"], F.regexp_extract("body", PUBLIC_PATH, 1)),
+            "template": of(["webpack", "angular"], F.regexp_extract("body", CHUNK_FILENAME, 1)),
+            "rule": rule,
+            "manifest": of(["next"], F.regexp_extract("body", NEXT_TABLE, 1)),
+        }
+    )
+    last = F.filter("entries", lambda e, i: ~F.exists(F.slice("entries", i + 2, F.size("entries")), lambda later: later["g1"] == e["g1"]))
+    hashes = F.map_from_entries(F.transform(last, lambda e: F.struct(e["g1"], e["g2"])))
+    return first.withColumns({"hashes": hashes, "listed": F.from_json("manifest", "map<string,array<string>>")}).drop("entries")
 
 
-def map_deps_table(js: DataFrame) -> DataFrame:
-    table = F.regexp_extract_all(F.regexp_extract("body", MAP_DEPS_TABLE, 1), F.lit(r"\"([^\"]+)\""), F.lit(1))
-    return js.select("url", F.posexplode(table).alias("ord", "dep"))
+def map_deps_in() -> Column:
+    """Vite dependency lists by index into the table of the definition; style sheets are skipped."""
+    indices = lambda m: F.filter(F.transform(F.split(m["g1"], ","), lambda x: F.trim(F.regexp_replace(x, r"\s", "")).try_cast("int")), lambda x: x.isNotNull())
+    plain = lambda d: d.isNotNull() & ~F.lower(d).endswith(".css") & ~F.lower(d).contains(".css?")
+    named = lambda m: F.filter(F.transform(indices(m), lambda i: F.get("table", i)), plain)
+    found = F.transform(_matches(MAP_DEPS, 1), lambda m: F.struct(m["match"].alias("raw"), F.transform(named(m), lambda d: urls.joined(F.col("url"), d)).alias("deps")))
+    return F.transform(F.filter(found, lambda x: F.size(x["deps"]) > 0), lambda x: _import(x["raw"], F.lit(""), "vite", "vite_map_deps", F.lit("medium"), deps=x["deps"]))
 
 
 def component_route(component: Column) -> Column:
@@ -234,52 +294,50 @@ def component_route(component: Column) -> Column:
     return F.when(clean != "", F.concat(F.lit("/"), clean)).otherwise("")
 
 
-def asset_map(js: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lazy imports of the asset map and the routes their components imply."""
-    rows = _found(js, ASSET_MAP, "component", "file").withColumns({"raw": F.col("match"), "resolved_url": urls.joined(F.col("url"), F.concat(F.lit("./"), F.col("file")))})
-    implied = rows.withColumns({"route": component_route(F.col("component")), "lazy_js": F.col("resolved_url")}).where("route <> ''")
-    return _imports(rows, "vite", "vite_import", F.lit("high"), F.col("component")), _routes(implied, "vite", "vite_import", F.lit("medium"))
+def _lazy() -> Column:
+    return F.transform(_matches(ASSET_MAP, 2), lambda m: F.struct(m["match"].alias("raw"), m["g1"].alias("component"), urls.joined(F.col("url"), F.concat(F.lit("./"), m["g2"])).alias("to"), component_route(m["g1"]).alias("route")))
 
 
-def _ordered(parts: list[DataFrame]) -> DataFrame:
-    """Union in the order of ``parts``: ord becomes (part, ord)."""
-    out = None
-    for k, p in enumerate(parts):
-        p = p.withColumn("ord", F.lit(k) * F.lit(1 << 32) + F.col("ord"))
-        out = p if out is None else out.unionByName(p)
-    return out
+def asset_map_in() -> tuple[Column, Column]:
+    found = _lazy()
+    implied = F.filter(found, lambda x: x["route"] != "")
+    return (
+        F.transform(found, lambda x: _import(x["raw"], x["to"], "vite", "vite_import", F.lit("high"), x["component"])),
+        F.transform(implied, lambda x: _route(x["route"], x["component"], x["to"], "vite", "vite_import", F.lit("medium"))),
+    )
 
 
-def first_of(df: DataFrame, *keys: str) -> DataFrame:
-    """First row by ord of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).where("_n = 1").drop("_n")
+def asset_map(js: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lazy imports of the asset map and the routes their components imply."""
+    found, implied = asset_map_in()
+    return _rows(js, found), _rows(js, implied)
 
 
-def _assets(df: DataFrame, framework: str, source: Column, confidence: Column, kind: str = "lazy_chunk_js") -> DataFrame:
-    return df.select("url", F.col("ord").cast("long").alias("ord"), "asset_url", F.lit(kind).alias("type"), F.lit(framework).alias("framework"), source.alias("source"), confidence.alias("confidence"))
+def first_of(df: DataFrame, *keys: str) -> DataFrame:
+    """First row by ord of each key."""
+    rest = [c for c in df.columns if c not in (*keys, "ord")]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct("ord", *rest), "ord").alias("f"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"f.{c}").alias(c) for c in df.columns])
 
 
-def _of_imports(found: DataFrame, framework: str) -> DataFrame:
-    return _assets(found.where("resolved_url <> ''").withColumn("asset_url", F.col("resolved_url")), framework, F.col("source"), F.col("confidence"))
+def _of_imports(found: Column, framework: str) -> Column:
+    return F.transform(F.filter(found, lambda x: x["resolved_url"] != ""), lambda x: _asset(x["resolved_url"], framework, x["source"], x["confidence"]))
 
 
-def _of_paths(js: DataFrame, framework: str) -> DataFrame:
-    return _assets(quoted_paths(js), framework, F.lit("regex_candidate"), F.lit("low"))
+def _of_paths(framework: str, ok=None) -> Column:
+    found = paths_in() if ok is None else F.filter(paths_in(), ok)
+    return F.transform(found, lambda p: _asset(p, framework, F.lit("regex_candidate"), F.lit("low")))
 
 
-def analysed_vite(js: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Imports, routes and assets of Vite scripts."""
-    direct = dynamic_imports(js, "vite").withColumns({"source": F.lit("vite_import"), "confidence": F.lit("high")})
-    mapped, implied = asset_map(js)
-    found = _ordered([direct, map_deps(js), mapped])
-    deps = found.select("url", "ord", F.posexplode("deps").alias("k", "asset_url")).where(urls.is_js_path(F.col("asset_url"))).withColumn("ord", F.col("ord") * 1024 + F.col("k") + 1)
-    own = _of_imports(found, "vite").withColumn("ord", F.col("ord") * 1024)
-    table = map_deps_table(js).where(urls.is_js_path(F.col("dep"))).withColumn("asset_url", urls.joined(F.col("url"), F.col("dep")))
-    first = own.unionByName(_assets(deps, "vite", F.lit("vite_map_deps"), F.lit("medium")))
-    last = (1 << 44)
-    later = _assets(table, "vite", F.lit("vite_map_deps"), F.lit("medium")).withColumn("ord", F.col("ord") + F.lit(last))
-    paths = _of_paths(js, "vite").where(urls.is_js_path(F.col("asset_url"))).withColumn("ord", F.col("ord") + F.lit(2 * last))
-    return found, implied, first_of(first.unionByName(later).unionByName(paths), "url", "asset_url")
+def vite_in() -> tuple[Column, Column, Column]:
+    """Imports, routes and assets of Vite scripts (J13): an import's own URL, then its dependencies; the
+    table of the definition; quoted paths."""
+    mapped, implied = asset_map_in()
+    found = F.concat(dynamic_imports_in("vite", "vite_import", "high"), map_deps_in(), mapped)
+    listed = lambda x: F.transform(F.filter(x["deps"], urls.is_js_path), lambda d: _asset(d, "vite", F.lit("vite_map_deps"), F.lit("medium")))
+    own = lambda x: F.when(x["resolved_url"] != "", F.array(_asset(x["resolved_url"], "vite", x["source"], x["confidence"]))).otherwise(_none(listed(x)))
+    table = F.transform(F.filter(F.coalesce("table", _strings()), urls.is_js_path), lambda d: _asset(urls.joined(F.col("url"), d), "vite", F.lit("vite_map_deps"), F.lit("medium")))
+    return found, implied, F.concat(F.flatten(F.transform(found, lambda x: F.concat(own(x), listed(x)))), table, _of_paths("vite", urls.is_js_path))
 
 
 def chunk_url(chunk: Column) -> Column:
@@ -305,105 +363,100 @@ def chunk_url(chunk: Column) -> Column:
     return F.when(public == "", "").otherwise(F.concat(public, name))
 
 
-def webpack_facts(lexed: DataFrame) -> DataFrame:
-    """Adds public, template, hashes (last entry of an id wins) and rule."""
-    entries = F.flatten(F.transform(F.regexp_extract_all("body", F.lit(HASH_MAP), F.lit(1)), lambda b: F.regexp_extract_all(b, F.lit(HASH_ENTRY), F.lit(0))))
-    ids = lambda e: F.regexp_extract(e, HASH_ENTRY, 1)
-    rows = lexed.withColumn("entries", F.transform(entries, lambda e: F.struct(ids(e).alias("id"), F.regexp_extract(e, HASH_ENTRY, 2).alias("digest"))))
-    last = F.filter("entries", lambda e, i: ~F.exists(F.slice("entries", i + 2, F.size("entries")), lambda later: later["id"] == e["id"]))
-    return rows.withColumns(
-        {"public": F.regexp_extract("body", PUBLIC_PATH, 1), "template": F.regexp_extract("body", CHUNK_FILENAME, 1), "hashes": F.map_from_entries(last), "rule": F.coalesce("lex.rule", F.lit(""))}
-    ).drop("entries")
+def webpack_in(framework: str = "webpack") -> tuple[Column, Column, Column]:
+    """Imports, routes and assets of webpack scripts."""
 
+    def chunks(ids: Column, said, sure: str) -> Column:
+        named = F.transform(ids, lambda i: F.struct(said(i).alias("raw"), chunk_url(i).alias("to")))
+        return F.transform(named, lambda x: _import(x["raw"], x["to"], framework, "webpack_runtime", F.when(x["to"] == "", "low").otherwise(sure)))
 
-def analysed_webpack(lexed: DataFrame, framework: str = "webpack") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Imports, routes and assets of webpack scripts."""
-    facts = webpack_facts(lexed)
-    pushes = _found(facts, CHUNK_PUSH, "a", "b").withColumn("id", F.concat("a", "b"))
-    pushes = pushes.withColumns({"raw": F.concat(F.lit("webpackChunk:"), F.col("id")), "resolved_url": chunk_url(F.col("id"))})
-    required = facts.where("lex.parse_ok").select("*", F.posexplode("lex.chunks").alias("ord", "id"))
-    required = required.withColumns({"raw": F.concat(F.lit("__webpack_require__.e("), F.col("id"), F.lit(")")), "resolved_url": chunk_url(F.col("id"))})
-    found = _ordered([
-        _imports(pushes, framework, "webpack_runtime", F.when(F.col("resolved_url") == "", "low").otherwise("medium")),
-        _imports(required, framework, "webpack_runtime", F.when(F.col("resolved_url") == "", "low").otherwise("high")),
-        dynamic_imports(lexed, framework),
-    ])
-    assets = first_of(_of_imports(found.where(F.col("confidence") == "high"), framework).where(urls.is_js_path(F.col("asset_url"))), "url", "asset_url")
-    return found, routes(lexed, framework), assets
-
-
-def analysed_next(js: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pushed = chunks(F.transform(_matches(CHUNK_PUSH, 2), lambda m: F.concat(m["g1"], m["g2"])), lambda i: F.concat(F.lit("webpackChunk:"), i), "medium")
+    required = chunks(F.when(F.col("lex.parse_ok"), F.col("lex.chunks")).otherwise(_strings()), lambda i: F.concat(F.lit("__webpack_require__.e("), i, F.lit(")")), "high")
+    found = F.concat(pushed, required, dynamic_imports_in(framework))
+    high = F.filter(found, lambda x: (x["confidence"] == "high") & urls.is_js_path(x["resolved_url"]))
+    return found, routes_in(framework), _of_imports(high, framework)
+
+
+def next_in() -> tuple[Column, Column, Column]:
     """Manifest and chunk URLs, and the routes of the build manifest."""
     given = F.regexp_extract("body", NEXT_BUILD, 1)
     build = F.when(given != "", given).otherwise(F.regexp_extract("url", NEXT_MANIFEST, 1))
-    names = F.when(build != "", F.transform(F.array(*map(F.lit, ("_buildManifest", "_ssgManifest", "app-build-manifest"))), lambda n: F.concat(F.lit("/_next/static/"), build, F.lit("/"), n, F.lit(".js")))).otherwise(F.array().cast(NO_STRINGS))
-    manifests = F.concat(names, F.regexp_extract_all("body", F.lit(NEXT_MANIFEST), F.lit(0)))
-    listed = lambda paths: js.select("url", F.posexplode(F.array_distinct(F.transform(paths, lambda p: urls.joined(F.col("url"), p)))).alias("ord", "asset_url"))
-    chunks = F.regexp_extract_all("body", F.lit(NEXT_CHUNK), F.lit(0))
-    assets = _ordered([_assets(listed(manifests), "next", F.lit("next_manifest"), F.lit("high")), _assets(listed(chunks), "next", F.lit("next_manifest"), F.lit("high"))])
-    table = js.select("url", F.regexp_extract("body", NEXT_TABLE, 1).alias("t")).where("t <> ''").withColumn("m", F.from_json("t", "map<string,array<string>>"))
+    names = F.when(build != "", F.transform(F.array(*map(F.lit, ("_buildManifest", "_ssgManifest", "app-build-manifest"))), lambda n: F.concat(F.lit("/_next/static/"), build, F.lit("/"), n, F.lit(".js")))).otherwise(_strings())
+    paths = F.concat(names, F.regexp_extract_all("body", F.lit(NEXT_MANIFEST), F.lit(0)), F.regexp_extract_all("body", F.lit(NEXT_CHUNK), F.lit(0)))
+    assets = F.transform(F.array_distinct(F.transform(paths, lambda p: urls.joined(F.col("url"), p))), lambda u: _asset(u, "next", F.lit("next_manifest"), F.lit("high")))
     place = lambda c: urls.joined(F.col("url"), F.when(c.startswith("/"), c).otherwise(F.concat(F.lit("/_next/static/chunks/"), c)))
-    strict = table.where("m is not null and size(m) > 0").select("url", F.posexplode("m").alias("ord", "route", "chunks"), F.lit("high").alias("sure"))
-    loose = table.where("m is null or size(m) = 0").withColumn("body", F.col("t"))
-    loose = _found(loose, NEXT_ROUTE, "route", "list").select("url", "ord", "route", F.regexp_extract_all("list", F.lit(r"\"([^\"]+\.js)\""), F.lit(1)).alias("chunks"), F.lit("medium").alias("sure")).where(F.size("chunks") > 0)
-    both = strict.unionByName(loose).withColumn("deps", F.transform("chunks", place)).withColumns({"component": F.lit(""), "lazy_js": F.coalesce(F.get("deps", F.lit(0)), F.lit(""))})
-    return dynamic_imports(js, "next"), _routes(both, "next", "next_manifest", F.col("sure"), F.col("deps")), first_of(assets, "url", "asset_url")
+    table = lambda route, chunks, sure: F.struct(route.alias("route"), F.transform(chunks, place).alias("deps"), F.lit(sure).alias("sure"))
+    strict = F.transform(F.map_entries("listed"), lambda e: table(e["key"], e["value"], "high"))
+    loose = F.transform(_matches(NEXT_ROUTE, 2, F.coalesce("manifest", F.lit(""))), lambda m: table(m["g1"], F.regexp_extract_all(m["g2"], F.lit(r"\"([^\"]+\.js)\""), F.lit(1)), "medium"))
+    both = F.when(F.coalesce(F.size("listed"), F.lit(0)) > 0, strict).otherwise(F.filter(loose, lambda x: F.size(x["deps"]) > 0))
+    return dynamic_imports_in("next"), F.transform(both, lambda x: _route(x["route"], F.lit(""), F.coalesce(F.get(x["deps"], F.lit(0)), F.lit("")), "next", "next_manifest", x["sure"], x["deps"])), assets
 
 
-def analysed_nuxt(js: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def nuxt_in() -> tuple[Column, Column, Column]:
     """Nuxt asset paths and route map."""
     paths = F.array_distinct(F.regexp_extract_all("body", F.lit(NUXT_PATH), F.lit(0)))
-    assets = js.select("url", F.posexplode(paths).alias("ord", "p")).withColumn("asset_url", urls.joined(F.col("url"), F.col("p")))
-    mapped = _found(js, NUXT_ROUTE, "r", "file").withColumns({"route": F.when(F.col("r").startswith("/"), F.col("r")).otherwise(F.concat(F.lit("/"), F.col("r"))), "component": F.lit(""), "lazy_js": urls.joined(F.col("url"), F.col("file"))})
-    return dynamic_imports(js, "nuxt"), _routes(mapped, "nuxt", "nuxt_static", F.lit("medium")), _assets(assets, "nuxt", F.lit("nuxt_static"), F.lit("medium"))
+    assets = F.transform(paths, lambda p: _asset(urls.joined(F.col("url"), p), "nuxt", F.lit("nuxt_static"), F.lit("medium")))
+    route = lambda r: F.when(r.startswith("/"), r).otherwise(F.concat(F.lit("/"), r))
+    mapped = F.transform(_matches(NUXT_ROUTE, 2), lambda m: _route(route(m["g1"]), F.lit(""), urls.joined(F.col("url"), m["g2"]), "nuxt", "nuxt_static", F.lit("medium")))
+    return dynamic_imports_in("nuxt"), mapped, assets
 
 
-def analysed_angular(lexed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def angular_in() -> tuple[Column, Column, Column]:
     """Webpack's findings where its runtime shows, lazy routes, and assets classed by name."""
-    packed = lexed.where(F.col("body").rlike(r"__webpack_require__|self\.webpackChunk|webpackJsonp"))
-    found, seen, assets = analysed_webpack(packed)
-    lazy = _found(lexed, LOAD_CHILDREN, "file").withColumns({"route": F.lit(""), "component": F.lit(""), "lazy_js": urls.joined(F.col("url"), F.col("file"))})
-    low = F.lower("asset_url")
-    kind = F.when(low.contains("runtime"), "runtime_js").when(low.contains("polyfills"), "vendor_js").when(low.contains("main"), "entry_js").otherwise(F.col("type"))
-    return _ordered([found, dynamic_imports(lexed, "angular")]), _ordered([seen, _routes(lazy, "angular", "regex_candidate", F.lit("medium"))]), assets.withColumn("type", kind)
+    packed = F.col("body").rlike(r"__webpack_require__|self\.webpackChunk|webpackJsonp")
+    found, seen, assets = (F.when(packed, c).otherwise(_none(c)) for c in webpack_in())
+    lazy = F.transform(_matches(LOAD_CHILDREN, 1), lambda m: _route(F.lit(""), F.lit(""), urls.joined(F.col("url"), m["g1"]), "angular", "regex_candidate", F.lit("medium")))
+    low = lambda x: F.lower(x["asset_url"])
+    kind = lambda x: F.when(low(x).contains("runtime"), "runtime_js").when(low(x).contains("polyfills"), "vendor_js").when(low(x).contains("main"), "entry_js").otherwise(x["type"])
+    classed = F.transform(assets, lambda x: _asset(x["asset_url"], "webpack", x["source"], x["confidence"], kind(x)))
+    return F.concat(found, dynamic_imports_in("angular")), F.concat(seen, lazy), classed
 
 
-def analysed_generic(js: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def generic_in() -> tuple[Column, Column, Column]:
     """Imports, routes, quoted paths first and resolved imports after."""
-    found = dynamic_imports(js)
-    return found, routes(js), _ordered([_of_paths(js, "unknown"), _of_imports(found, "unknown")])
+    found = dynamic_imports_in()
+    return found, routes_in(), F.concat(_of_paths("unknown"), _of_imports(found, "unknown"))
+
+
+ANALYSES = {"vite": vite_in, "webpack": webpack_in, "next": next_in, "nuxt": nuxt_in, "angular": angular_in, "generic": generic_in}
 
 
-ANALYSES = {"vite": analysed_vite, "webpack": analysed_webpack, "next": analysed_next, "nuxt": analysed_nuxt, "angular": analysed_angular, "generic": analysed_generic}
+def analysis(lexed: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Imports, routes and distinct assets by one framework's analysis, of scripts that are dispatched to it or, in a
+    table without route_key, of all."""
+    own = lexed.where(F.col("route_key") == key) if "route_key" in lexed.columns else lexed
+    rows = prepared(own if "lex" in own.columns else own.withColumn("lex", F.lit(None).cast(LEXED)))
+    found, seen, assets = ANALYSES[key]()
+    return _rows(rows, found), _rows(rows, seen), first_of(_rows(rows, assets), "url", "asset_url")
 
 
 def analysed(lexed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Imports, routes and assets of all scripts: token findings first, then the analysis of their
     framework, then quoted paths not known yet (J11, J22, J23).
 
-    ``lexed`` is ``dispatched(scanned(js))``, best as a saved table: every branch of the union reads it.
+    ``lexed`` is ``dispatched(scanned(js))``. A script's findings of a kind are one array, whose
+    framework part is a CASE on route_key: each of the three results reads the scripts once.
     """
-    known = lexed
-    parts = [f(known.where(F.col("route_key") == k)) for k, f in ANALYSES.items()]
-    own_imports, own_routes = token_imports(known), token_routes(known)
-    of_framework = [_union([p[n] for p in parts]) for n in range(3)]
-    imports = first_of(_ordered([own_imports, of_framework[0]]), "url", "raw")
-    found = first_of(_ordered([own_routes, of_framework[1]]), "url", "route", "lazy_js")
-    extra = _of_paths(known.where("framework <> 'unknown'"), "")
-    assets = first_of(_ordered([_of_imports(own_imports, ""), of_framework[2], extra]), "url", "asset_url")
-    return imports, found, assets
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows, own = prepared(lexed), [f() for f in ANALYSES.values()]
+
+    def by_framework(n: int) -> Column:
+        out = F.when(F.col("route_key") == next(iter(ANALYSES)), own[0][n])
+        for key, parts in list(zip(ANALYSES, own, strict=True))[1:]:
+            out = out.when(F.col("route_key") == key, parts[n])
+        return F.coalesce(out, _none(own[0][n]))
+
+    extra = _of_paths("")
+    assets = F.concat(_of_imports(token_imports_in(), ""), by_framework(2), F.when(F.col("framework") != "unknown", extra).otherwise(_none(extra)))
+    return (
+        first_of(_rows(rows, F.concat(token_imports_in(), by_framework(0))), "url", "raw"),
+        first_of(_rows(rows, F.concat(token_routes_in(), by_framework(1))), "url", "route", "lazy_js"),
+        first_of(_rows(rows, assets), "url", "asset_url"),
+    )
 
 
 def discovered(lexed: DataFrame) -> DataFrame:
     """New asset URLs of every script, first wins."""
-    return first_of(analysed(lexed)[2].where("asset_url <> ''"), "url", "asset_url")
+    return analysed(lexed)[2].where("asset_url <> ''")
 
 
 def paths_in_text(texts: DataFrame) -> DataFrame:

@@ -140,12 +140,16 @@ def application_sources(files: DataFrame) -> DataFrame:
 
 
 def recoveries(files: DataFrame) -> DataFrame:
-    """Per map: source_count, content_size, complete and status (P5)."""
+    """Per map: source_count and content_size of all its application sources, those beyond the caps and
+    those without content included, complete and status (P5)."""
     app = files.withColumn("path", application_path(F.col("name")))
-    own = app.groupBy("url").agg(F.bool_and("complete").alias("whole"), F.count_if(F.col("path") != "").alias("n_app"))
-    kept = application_sources(files).groupBy("url").agg(F.count(F.lit(1)).alias("source_count"), F.sum("size").cast("long").alias("content_size"))
-    rows = own.join(kept, "url", "left").na.fill(0, ["source_count", "content_size"])
-    return rows.select("url", "source_count", "content_size", (F.col("whole") & (F.col("n_app") > 0) & (F.col("n_app") == F.col("source_count"))).alias("complete"), F.when(F.col("source_count") > 0, "used").otherwise("no_application_sources").alias("status"))
+    own = app.groupBy("url").agg(
+        F.bool_and("complete").alias("whole"), F.count_if(F.col("path") != "").alias("source_count"),
+        F.coalesce(F.sum(F.when(F.col("path") != "", F.octet_length("content"))), F.lit(0)).cast("long").alias("content_size"),
+    )
+    kept = application_sources(files).groupBy("url").agg(F.count(F.lit(1)).alias("n_kept"))
+    rows = own.join(kept, "url", "left").na.fill(0, ["n_kept"])
+    return rows.select("url", "source_count", "content_size", (F.col("whole") & (F.col("n_kept") > 0) & (F.col("n_kept") == F.col("source_count"))).alias("complete"), F.when(F.col("n_kept") > 0, "used").otherwise("no_application_sources").alias("status"))
 
 
 def analysis_units(bundles: DataFrame, files: DataFrame) -> DataFrame:
@@ -178,9 +182,17 @@ def folded(body: str | None) -> str | None:
 
 
 def _alive(code: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Without the branch of ``if (true|false) {...} else {...}`` that never runs, unless either declares a name."""
+    """Without the branch of ``if (true|false) {...} else {...}`` that never runs, unless either declares a name,
+    and with the operand of ``true|false ? a : b`` that is taken."""
     at = 0
     while at < len(code):
+        if code[at][1] in ("true", "false") and code[at][0] != "string" and at + 1 < len(code) and code[at + 1][1] == "?" and (at == 0 or code[at - 1][1] in BEFORE_TERNARY):
+            middle, last = _operand(code, at + 2), -1
+            if 0 < middle < len(code) and code[middle][1] == ":":
+                last = _operand(code, middle + 1)
+            if last > middle + 1 and middle > at + 2 and (last == len(code) or code[last][1] in AFTER_TERNARY):
+                code = code[:at] + (code[at + 2 : middle] if code[at][1] == "true" else code[middle + 1 : last]) + code[last:]
+                continue
         words = [t[1] for t in code[at : at + 5]]
         if words[:2] == ["if", "("] and len(words) == 5 and words[2] in ("true", "false") and words[3:] == [")", "{"]:
             end = _closing(code, at + 4)
@@ -194,6 +206,29 @@ def _alive(code: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return code
 
 
+#: A constant condition counts only where an expression begins, and its last operand only up to where one ends.
+BEFORE_TERNARY = ("(", "[", "{", ",", ";", "=", ":", "return", "=>", "}")
+AFTER_TERNARY = (")", "]", "}", ",", ";", ":")
+
+
+def _operand(code: list[tuple[str, str]], at: int) -> int:
+    """Where the operand at ``at`` ends: the first mark outside brackets that ends an expression or parts a ternary; -1 if it holds one itself."""
+    depth = 0
+    for k in range(at, len(code)):
+        word = code[k][1] if code[k][0] != "string" else ""
+        if word in ("(", "[", "{"):
+            depth += 1
+        elif word in (")", "]", "}"):
+            if not depth:
+                return k
+            depth -= 1
+        elif not depth and word == "?":
+            return -1
+        elif not depth and word in (":", ",", ";"):
+            return k
+    return len(code)
+
+
 def _closing(code: list[tuple[str, str]], at: int) -> int:
     depth = 0
     for k in range(at, len(code)):

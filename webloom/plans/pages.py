@@ -69,7 +69,13 @@ def p4_application_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_recoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.recoveries(P.flattened(_maps(spark, sf_dir)))
+    """Maps with empty sources, with none of the application, whole ones, and ones beyond the cap of files."""
+    rows = sql(spark, sf_dir, MAP, "documents")
+    many = F.sequence(F.lit(0), F.lit(599))
+    names = F.when(F.col("doc_id") % 100 == 4, F.transform(many, lambda k: F.concat(F.lit("src/f"), k.cast("string"), F.lit(".js")))).when(F.col("doc_id") % 4 < 2, F.array("name", F.lit("src/empty.js"))).otherwise(F.array(F.lit("src/a.ts"), F.lit("src/b.js")))
+    texts = F.when(F.col("doc_id") % 100 == 4, F.transform(many, lambda k: F.when(k < 10, "").otherwise("xy"))).when(F.col("doc_id") % 4 < 2, F.array("text", F.lit(""))).otherwise(F.array("text", F.lit("b")))
+    made_ = F.to_json(F.struct(F.lit(3).alias("version"), names.alias("sources"), texts.alias("sourcesContent")))
+    return P.recoveries(P.flattened(rows.select("url", made_.alias("map_text"))))
 
 
 def p6_analysis_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +107,7 @@ def p2_data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_p8_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(F.lit('var a = "x" + "y'), F.col("doc_id").cast("string"), F.lit('" + "z"; if (false) { b(1); } else { c(2); }'))
+    body = F.concat(F.lit('var a = "x" + "y'), F.col("doc_id").cast("string"), F.lit('" + "z"; if (false) { b(1); } else { c(2); } d = true ? e(1, 2) : [3]; f(false ? g : "h" + "i");'))
     return sql(spark, sf_dir, MAP, "documents").select("doc_id", P.fold(body).alias("code"))
 
 
@@ -117,14 +123,15 @@ UNION ALL SELECT url, base || 'mp.js', 'modulepreload', 'medium' FROM c UNION AL
     "h7_h8_rendered_assets": f"""{_ROWS} SELECT url, root || '/d/' || f AS asset_url, 'headless_dom' AS source, c AS confidence FROM c, (VALUES ('app.js?a=1&amp;b=2', 'high'), ('m.js', 'high'), ('mp.js', 'medium')) v(f, c)""",
     "p3_flattened": f"{_MAPS} SELECT url, CAST(0 AS BIGINT) AS pos, name, sha256(text) AS content_hash, TRUE AS complete FROM m UNION ALL SELECT url, 1, 'src/empty.js', sha256(''), TRUE FROM m",
     "p4_application_paths": f"{_MAPS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'src/f' || CAST(doc_id AS VARCHAR) || '.ts' ELSE '' END AS path FROM m",
-    "p5_recoveries": f"""{_MAPS} SELECT url, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS source_count, CAST(CASE WHEN doc_id % 2 = 0 THEN octet_length(encode(text)) ELSE 0 END AS BIGINT) AS content_size, FALSE AS complete,
-CASE WHEN doc_id % 2 = 0 THEN 'used' ELSE 'no_application_sources' END AS status FROM m""",
+    "p5_recoveries": f"""{_MAPS}, k AS (SELECT url, CASE WHEN doc_id % 100 = 4 THEN 'many' WHEN doc_id % 4 = 0 THEN 'empty' WHEN doc_id % 4 = 1 THEN 'none' ELSE 'whole' END AS k, octet_length(encode(text)) AS n FROM m)
+SELECT url, CAST(CASE k WHEN 'many' THEN 600 WHEN 'none' THEN 1 ELSE 2 END AS BIGINT) AS source_count, CAST(CASE k WHEN 'many' THEN 1180 WHEN 'none' THEN 0 WHEN 'empty' THEN n ELSE n + 1 END AS BIGINT) AS content_size, k = 'whole' AS complete,
+CASE WHEN k = 'none' THEN 'no_application_sources' ELSE 'used' END AS status FROM k""",
     "p6_analysis_units": f"{_MAPS} SELECT url AS bundle, CASE WHEN doc_id % 2 = 0 THEN 'src/f' || CAST(doc_id AS VARCHAR) || '.ts' ELSE url END AS source_name, CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE sha256('bundle') END AS body_hash FROM m",
     "p1_s11_references": f"{_MAPS} SELECT doc_id, 'b' || CAST(doc_id AS VARCHAR) || '.js.map' AS reference, url || '.map?v=1' AS adjacent FROM m",
     "j25_summaries": f"{_MAPS} SELECT url, 'parsed' AS status, CAST(2 AS BIGINT) AS source_count, text <> '' AS has_sources_content FROM m",
     "s11_with_maps": f"{_MAPS} SELECT url, url || CASE WHEN doc_id % 3 = 0 THEN '.own.map' ELSE '.map' END AS map_url, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'm' END AS map_text FROM m",
     "p2_data_urls": f"{_MAPS} SELECT doc_id, sha256(text) AS hash FROM m",
-    "p7_p8_folded": f"""{_MAPS} SELECT doc_id, 'var a = "xy' || CAST(doc_id AS VARCHAR) || 'z" ; c ( 2 ) ;' || chr(10) AS code FROM m""",
+    "p7_p8_folded": f"""{_MAPS} SELECT doc_id, 'var a = "xy' || CAST(doc_id AS VARCHAR) || 'z" ; c ( 2 ) ; d = e ( 1 , 2 ) ; f ( "hi" ) ;' || chr(10) AS code FROM m""",
 }
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[:1] in "hpjs" and k[1:2].isdigit() and callable(f)}

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions.storage import saved
 from webloom.operators import javascript as J
 from webloom.plans.tables import sql
 
@@ -37,6 +36,26 @@ def j3_token_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.token_imports(J.scanned(scripts(spark, sf_dir))).select("url", "raw", "resolved_url", "confidence")
 
 
+def j4_fallback_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scripts, cut off within a bracket: no text lexes, the patterns take over."""
+    torn = scripts(spark, sf_dir).withColumn("body", F.concat("body", F.lit("\n({")))
+    return J.token_imports(J.scanned(torn)).select("url", "raw", "resolved_url", "confidence")
+
+
+def j5_import_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sql(spark, sf_dir, "SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN '/a/' || CAST(page_id AS STRING) || '.js' WHEN 2 THEN './b/../c.js' WHEN 3 THEN '../d.js?x=1' ELSE 'bare/x.js' END AS raw, 'https://s' || CAST(page_id % 9 AS STRING) || '.example.com/js/lib/app.js' AS base FROM pages", "pages")
+    return rows.select("page_id", J.import_url(F.col("raw"), F.col("base")).alias("resolved_url"))
+
+
+def j7_all_source_map_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sql(spark, sf_dir, "SELECT url, 'a();//# sourceMappingURL=a' || CAST(page_id AS STRING) || '.map' || chr(10) || '/*# sourceMappingURL=b.map */ c();//@ sourceMappingURL=data:x' AS body FROM pages", "pages")
+    return J.all_source_map_urls(rows).select("url", "ord", "raw")
+
+
+def j12_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.analysis(scripts(spark, sf_dir), "generic")[2].select("url", "asset_url", "source", "confidence")
+
+
 def j6_source_map_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.source_map_urls(scripts(spark, sf_dir))
 
@@ -58,7 +77,7 @@ def j11_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j13_j14_j15_vite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.analysed_vite(scripts(spark, sf_dir).where(F.col("body").contains("__vite")))[2].select("url", "asset_url", "source", "confidence")
+    return J.analysis(J.dispatched(scripts(spark, sf_dir)), "vite")[2].select("url", "asset_url", "source", "confidence")
 
 
 def j15_asset_map_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,30 +85,28 @@ def j15_asset_map_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j16_j17_webpack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexed = J.scanned(scripts(spark, sf_dir).where(F.col("body").contains("__webpack_require__")))
-    return J.analysed_webpack(lexed)[0].select("url", "raw", "resolved_url", "source", "confidence")
+    return J.analysis(J.dispatched(J.scanned(scripts(spark, sf_dir))), "webpack")[0].select("url", "raw", "resolved_url", "source", "confidence")
 
 
 def j19_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.analysed_next(scripts(spark, sf_dir).where(F.col("body").contains("_next")))[2].select("url", "asset_url")
+    return J.analysis(J.dispatched(scripts(spark, sf_dir)), "next")[2].select("url", "asset_url")
 
 
 def j19_next_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = J.analysed_next(scripts(spark, sf_dir).where(F.col("body").contains("_next")))[1]
+    found = J.analysis(J.dispatched(scripts(spark, sf_dir)), "next")[1]
     return found.select("url", "route", "lazy_js", F.array_join("deps", " ").alias("deps"), "confidence")
 
 
 def j20_nuxt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.analysed_nuxt(scripts(spark, sf_dir))[2].select("url", "asset_url", "confidence")
+    return J.analysis(J.dispatched(scripts(spark, sf_dir)), "nuxt")[2].select("url", "asset_url", "confidence")
 
 
 def j21_angular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexed = J.scanned(scripts(spark, sf_dir).where(F.col("body").contains("@angular")))
-    return J.analysed_angular(lexed)[1].select("url", "lazy_js", "confidence")
+    return J.analysis(J.dispatched(J.scanned(scripts(spark, sf_dir))), "angular")[1].select("url", "lazy_js", "confidence")
 
 
 def j22_j23_j24_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.discovered(saved(J.dispatched(J.scanned(scripts(spark, sf_dir))))).select("url", "asset_url", "confidence", "source")
+    return J.discovered(J.dispatched(J.scanned(scripts(spark, sf_dir)))).select("url", "asset_url", "confidence", "source")
 
 
 def j26_paths_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +138,14 @@ UNION ALL SELECT url, 0, 'home.js', page_id FROM js WHERE page_id % 6 = 5) t""",
     "j3_token_imports": f"""{W} SELECT url, './' || f AS raw, {_DIR} || f AS resolved_url, 'high' AS confidence FROM (
 SELECT url, unnest(['chunk-' || {_ID} || '.js', 'user-' || {_ID} || '.js']) AS f FROM js WHERE page_id % 6 = 0 UNION ALL SELECT url, 'lazy-' || {_ID} || '.js' FROM js WHERE page_id % 6 = 1
 UNION ALL SELECT url, 'lazy' || {_ID} || '.js' FROM js WHERE page_id % 6 = 4 UNION ALL SELECT url, unnest(['home.js', 'mod' || {_ID} || '.js']) FROM js WHERE page_id % 6 = 5) t""",
+    "j4_fallback_imports": f"""{W} SELECT url, './' || f AS raw, {_DIR} || f AS resolved_url, 'high' AS confidence FROM (
+SELECT url, unnest(['chunk-' || {_ID} || '.js', 'user-' || {_ID} || '.js']) AS f FROM js WHERE page_id % 6 = 0 UNION ALL SELECT url, 'lazy-' || {_ID} || '.js' FROM js WHERE page_id % 6 = 1
+UNION ALL SELECT url, 'lazy' || {_ID} || '.js' FROM js WHERE page_id % 6 = 4 UNION ALL SELECT url, unnest(['home.js', 'mod' || {_ID} || '.js']) FROM js WHERE page_id % 6 = 5) t""",
+    "j5_import_urls": """SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 4 THEN '' ELSE 'https://s' || CAST(page_id % 9 AS VARCHAR) || '.example.com' || CASE page_id % 5 WHEN 1 THEN '/a/' || CAST(page_id AS VARCHAR) || '.js' WHEN 2 THEN '/js/lib/c.js' ELSE '/js/d.js?x=1' END END AS resolved_url FROM pages""",
+    "j7_all_source_map_urls": "SELECT url, unnest([0, 1]) AS ord, unnest(['a' || CAST(page_id AS VARCHAR) || '.map', 'b.map']) AS raw FROM pages",
+    "j12_generic": f"""{W} SELECT url, {_ROOT} || p AS asset_url, 'regex_candidate' AS source, 'low' AS confidence FROM (SELECT url, unnest(list_distinct(regexp_extract_all(body, '[\"'']((?:/|[.]|[.][.]/)(?:assets|static|_next/static|_nuxt|chunks|js)[^\"'']*[.]js)[\"'']', 1))) AS p FROM js) t
+UNION ALL SELECT url, {_DIR} || f, 'import_expression', 'high' FROM (SELECT url, unnest(['chunk-' || {_ID} || '.js', 'user-' || {_ID} || '.js']) AS f FROM js WHERE page_id % 6 = 0 UNION ALL SELECT url, 'lazy-' || {_ID} || '.js' FROM js WHERE page_id % 6 = 1
+UNION ALL SELECT url, 'lazy' || {_ID} || '.js' FROM js WHERE page_id % 6 = 4 UNION ALL SELECT url, 'home.js' FROM js WHERE page_id % 6 = 5) v""",
     "j6_source_map_urls": f"{W} SELECT url, {_DIR} || 'app' || {_ID} || '.js.map' AS map_url FROM js WHERE page_id % 6 = 5",
     "j8_routes": f"{W} SELECT url, '/home' || {_ID} AS route, './home.js' AS component, 'medium' AS confidence FROM js WHERE page_id % 6 = 5",
     "j9_quoted_paths": f"{W} SELECT url, {_ROOT} || p AS asset_url FROM (SELECT url, unnest(regexp_extract_all(body, '[\"'']((?:/|[.]|[.][.]/)(?:assets|static|_next/static|_nuxt|chunks|js)[^\"'']*[.]js)[\"'']', 1)) AS p FROM js) t",

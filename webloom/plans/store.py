@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import gzip
+import uuid
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions import urls as U
+from webloom.functions.storage import shared_dir
+from webloom.functions.vectorized import vectorized
 from webloom.operators import assets as M
 from webloom.operators import crawl as C
 from webloom.plans.tables import sql
@@ -25,6 +31,10 @@ CDP = """SELECT event_id AS seq, ts, 'r' || CAST(user_id AS STRING) AS request_i
 CASE WHEN event_type = 'click' THEN 200 + event_id % 5 ELSE 0 END AS status_code, CASE WHEN event_type = 'click' THEN 'application/json' ELSE '' END AS mime_type FROM events"""
 
 
+IDLE = """SELECT user_id % 10 AS page, event_id AS request_id, ts, 'start' AS kind FROM events WHERE event_type = 'view'
+UNION ALL SELECT user_id % 10, event_id - 1, ts, 'end' FROM events WHERE event_type = 'click'"""
+
+
 def m1_asset_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merged(sql(spark, sf_dir, UPSERTS, "events"))
 
@@ -78,7 +88,7 @@ def c6_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c7_not_downloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = sql(spark, sf_dir, "SELECT 'c' || CAST(c_custkey AS STRING) AS asset_url FROM customer", "customer")
-    done = sql(spark, sf_dir, "SELECT 'c' || CAST(o_custkey AS STRING) AS asset_url FROM orders", "orders")
+    done = sql(spark, sf_dir, "SELECT 'c' || CAST(o_custkey AS STRING) AS asset_url FROM orders WHERE o_orderstatus = 'P'", "orders")
     return C.not_downloaded(every, done)
 
 
@@ -110,6 +120,56 @@ def s2_s3_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.entries(rows)
 
 
+def s1_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of pages as a list file with blanks, empty lines and comments, read back."""
+    lines = sql(spark, sf_dir, "SELECT CASE page_id % 4 WHEN 0 THEN '# ' || url WHEN 1 THEN '  ' || url || ' ' WHEN 2 THEN '' ELSE url END AS line FROM pages", "pages")
+    path = f"{shared_dir(spark)}/webloom/list-{uuid.uuid4().hex}"
+    S.write_lines(lines, path)
+    return S.url_list(spark, path).select("raw")
+
+
+_GZIP = {"gzip": gzip.compress, "br": lambda b: pa.compress(b, codec="brotli", asbytes=True), "": bytes}
+
+
+@vectorized("binary")
+def _packed(text: pd.Series, encoding: pd.Series) -> pd.Series:
+    return pd.Series([_GZIP[e]((t or "").encode()) for t, e in zip(text, encoding, strict=True)])
+
+
+def s6_decoded_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as bodies of three encodings, decoded up to 4000 bytes."""
+    rows = sql(spark, sf_dir, "SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'gzip' WHEN 1 THEN 'br' ELSE '' END AS encoding FROM documents", "documents")
+    decoded = rows.withColumn("d", S.decompress(4000)(_packed(F.col("text"), F.col("encoding")), F.col("encoding")))
+    return decoded.select("doc_id", F.sha2("d.body", 256).alias("hash"), F.col("d.error").alias("error"))
+
+
+def s14_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/webloom/report-{uuid.uuid4().hex}"
+    S.write_report(path, pages=sql(spark, sf_dir, "SELECT page_id, url FROM pages", "pages"))
+    return spark.read.schema("page_id long, url string").json(f"{path}/pages.jsonl")
+
+
+def s17_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets of all sites, then those of sites 0 and 1 anew: the others stay."""
+    path = f"{shared_dir(spark)}/webloom/sites-{uuid.uuid4().hex}"
+    rows = sql(spark, sf_dir, "SELECT 's' || CAST(user_id % 5 AS STRING) AS site, event_id, event_type AS state FROM events", "events")
+    S.write_sites(rows, path)
+    S.write_sites(rows.where("site IN ('s0', 's1') AND state = 'click'").withColumn("state", F.lit("new")), path)
+    return spark.read.schema("event_id long, state string, site string").parquet(path)
+
+
+def c4_c10_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each page of the crawl was found first, in queue order."""
+    edges = sql(spark, sf_dir, LINKS, "pages").select(F.col("src").cast("string").alias("from_url"), F.col("dst").cast("string").alias("url"), "ord", F.when(F.col("ord") == 5, "low").when(F.col("ord") == 3, "medium").otherwise("high").alias("confidence"), (F.col("dst") % 13 != 0).alias("fetchable"))
+    entry = sql(spark, sf_dir, "SELECT 'o' AS origin, '0' AS url, 0 AS ord", "pages")
+    return C.crawled(entry, edges, max_depth=5).select("url", "from_url", "depth", "batch", F.array_join(F.col("ord").cast("array<string>"), ".").alias("ord"))
+
+
+def m5_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sql(spark, sf_dir, "SELECT event_id, event_type, CAST(user_id % 3 AS STRING) AS u FROM events", "events")
+    return rows.select("event_id", F.array_join(M.unique(F.array("event_type", "u", "event_type", "u", F.lit("z"))), "|").alias("names"))
+
+
 def s5_single_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.single_flight(sql(spark, sf_dir, "SELECT o_custkey % 9 AS entry_url, o_custkey % 50 AS url, o_orderkey AS ord FROM orders", "orders"))
 
@@ -136,6 +196,19 @@ def t1_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.requests(T.captured(sql(spark, sf_dir, CDP, "events"))).select("request_id", "redirect_index", "seq", "url", "status_code", "completed", "failed", "redirect_to")
 
 
+def t2_late_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of click events, told after all hops are known."""
+    found = T.requests(T.captured(sql(spark, sf_dir, CDP, "events")))
+    bodies = sql(spark, sf_dir, "SELECT 'r' || CAST(user_id AS STRING) AS request_id, 'https://api.example.com/' || CAST(event_id AS STRING) AS url, event_id AS seq, 'b' || CAST(event_id AS STRING) AS body FROM events WHERE event_type = 'click'", "events")
+    return T.with_late_bodies(found, bodies).select("request_id", "redirect_index", "body")
+
+
+def t4_idle_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of ten pages that start at views and end at the next click of the user, or expire."""
+    rows = sql(spark, sf_dir, IDLE, "events")
+    return T.idle_points(rows, "page").select("page", F.unix_micros("idle_from").alias("idle_from"))
+
+
 def t3_websockets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sql(spark, sf_dir, "SELECT event_id AS seq, 'w' || CAST(user_id AS STRING) AS request_id, 'wss://x/' || CAST(event_id AS STRING) AS url, CASE WHEN event_type = 'view' THEN 'ws_created' WHEN event_type = 'click' THEN 'ws_handshake' ELSE 'other' END AS kind, CASE WHEN event_id % 3 = 0 THEN 400 ELSE 101 END AS status_code FROM events", "events")
     return T.websockets(rows)
@@ -184,6 +257,21 @@ bool_or(kind IN ('finished', 'failed')) AS ended, bool_or(kind = 'failed') AS fa
 q AS (SELECT *, coalesce(lead(url) OVER (PARTITION BY request_id ORDER BY hop), '') AS redirect_to FROM r WHERE begun)"""
 _CRAWL = f"""WITH RECURSIVE l AS ({LINKS}), w(url, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN l ON src = url WHERE depth < @depth)"""
 ORACLES = {
+    "s1_url_list": "SELECT url AS raw FROM pages WHERE page_id % 4 IN (1, 3)",
+    "s6_decoded_bodies": "SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 4000 THEN sha256(text) END AS hash, CASE WHEN octet_length(encode(text)) <= 4000 THEN '' ELSE 'too large' END AS error FROM documents",
+    "s14_report": "SELECT page_id, url FROM pages",
+    "s17_sites": "SELECT 's' || CAST(user_id % 5 AS VARCHAR) AS site, event_id, CASE WHEN user_id % 5 < 2 THEN 'new' ELSE event_type END AS state FROM events WHERE user_id % 5 > 1 OR event_type = 'click'",
+    "c4_c10_queue": f"""WITH RECURSIVE l AS ({LINKS}), w(url, from_url, depth, path) AS (SELECT 0::BIGINT, '', 0, [0::BIGINT] UNION ALL
+SELECT dst, CAST(src AS VARCHAR), depth + 1, list_append(path, CAST(ord AS BIGINT)) FROM w JOIN l ON src = url WHERE depth < 5 AND ord <> 5 AND dst % 13 <> 0),
+m AS (SELECT *, min(depth) OVER (PARTITION BY url) AS least FROM w)
+SELECT CAST(url AS VARCHAR) AS url, arg_min(from_url, path) AS from_url, CAST(min(depth) AS INTEGER) AS depth, CAST(min(depth) AS INTEGER) AS batch, array_to_string(min(path), '.') AS ord FROM m WHERE depth = least GROUP BY url""",
+    "m5_unique": "SELECT event_id, event_type || '|' || CAST(user_id % 3 AS VARCHAR) || '|z' AS names FROM events",
+    "t2_late_bodies": f"""{_HOPS} SELECT q.request_id, q.hop AS redirect_index, CASE WHEN q.hop = max(q.hop) OVER (PARTITION BY q.request_id) THEN 'b' || CAST(b.event_id AS VARCHAR) END AS body
+FROM q LEFT JOIN events b ON b.event_type = 'click' AND q.request_id = 'r' || CAST(b.user_id AS VARCHAR) AND q.url = 'https://api.example.com/' || CAST(b.event_id AS VARCHAR)""",
+    "t4_idle_points": f"""WITH e AS ({IDLE}), c AS (SELECT page, request_id, min(ts) AS ts FROM (SELECT page, request_id, ts FROM e WHERE kind = 'end' UNION ALL SELECT page, request_id, ts + INTERVAL 5 SECONDS FROM e WHERE kind = 'start') t GROUP BY page, request_id),
+s AS (SELECT page, request_id, ts, 1 AS step FROM e WHERE kind = 'start' UNION ALL SELECT page, request_id, ts, -1 FROM c),
+o AS (SELECT *, sum(step) OVER w AS held, lead(ts) OVER (PARTITION BY page ORDER BY ts, step, request_id) AS later FROM s WINDOW w AS (PARTITION BY page ORDER BY ts, step, request_id ROWS UNBOUNDED PRECEDING))
+SELECT page, epoch_us(ts) AS idle_from FROM o WHERE held = 0 AND (later IS NULL OR epoch_ms(later) - epoch_ms(ts) >= 750)""",
     "m1_asset_upserts": f"{_MERGED} SELECT * FROM m",
     "m2_confirmed": f"{_MERGED} SELECT site, url FROM m WHERE status = 'confirmed'",
     "m3_output_map": "SELECT DISTINCT 'site' || CAST(user_id % 5 AS VARCHAR) AS site, 'u' || CAST(user_id AS VARCHAR) AS url, 'a/b' || CAST(event_id % 4 AS VARCHAR) AS path FROM events WHERE event_id % 3 <> 0",
@@ -199,7 +287,7 @@ SELECT origin, CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN base || '_'
     "c6_outcomes": """WITH u AS (SELECT o_orderkey AS k, unnest(CASE WHEN o_orderkey % 3 = 0 THEN ['u', 'f'] ELSE ['u'] END) AS p FROM orders)
 SELECT p || CAST(k AS VARCHAR) AS asset_url, CASE WHEN k % 4 = 0 THEN 'failed' ELSE 'confirmed' END AS status, CASE WHEN k % 4 = 0 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN k % 4 = 0 THEN '' ELSE 'text/js' END AS content_type,
 CASE WHEN k % 4 = 0 THEN 0 ELSE k END AS size, CASE WHEN k % 4 = 0 THEN '' ELSE 'h' END AS hash FROM u""",
-    "c7_not_downloaded": "SELECT 'c' || CAST(c_custkey AS VARCHAR) AS asset_url, 'candidate' AS status FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "c7_not_downloaded": "SELECT 'c' || CAST(c_custkey AS VARCHAR) AS asset_url, 'candidate' AS status FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "c8_batch_statistics": f"""WITH f AS ({FETCHES}), g AS (SELECT origin, batch, min(depth) AS min_depth, max(depth) AS max_depth, count(*) AS attempted, count(*) FILTER (WHERE outcome = 'js') AS js, count(*) FILTER (WHERE outcome = 'non_js') AS non_js,
 count(*) FILTER (WHERE outcome IS NULL) AS failed, CAST(sum(discovered) AS BIGINT) AS discovered FROM f GROUP BY origin, batch)
 SELECT *, coalesce(lead(attempted) OVER w, 0) AS next, CAST(sum(js) OVER (PARTITION BY origin ORDER BY batch ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM g WINDOW w AS (PARTITION BY origin ORDER BY batch)""",

@@ -6,6 +6,7 @@ import zlib
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +66,14 @@ def single_flight(requests: DataFrame) -> DataFrame:
 def decompressed(data: bytes | None, encoding: str | None, limit: int) -> tuple[bytes | None, str]:
     """Decoded body and an error, empty if there is none; corrupt data stays as it is (S6). 0 is no limit."""
     data = data or b""
-    kind = {"gzip": 31, "x-gzip": 31, "deflate": 15}.get((encoding or "").strip().lower())
+    name = (encoding or "").strip().lower()
+    kind = {"gzip": 31, "x-gzip": 31, "deflate": 15}.get(name)
+    if name == "br":
+        try:
+            with pa.CompressedInputStream(pa.BufferReader(data), "brotli") as stream:
+                data = stream.read(limit + 1 if limit else None)
+        except (OSError, pa.ArrowInvalid):
+            pass
     if kind:
         reader = zlib.decompressobj(kind)
         try:

@@ -7,6 +7,7 @@ form uses windows over request_id; the streaming form keeps the same state by ke
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -156,6 +157,68 @@ def _row(request: str, own: list, completed: bool, failed: bool, target: str) ->
     return (request, hop, seq, url, method, kind, status, mime, completed, failed, origin, target)
 
 
+_OPEN = "requests string, idle_from long"
+
+
+def streamed_idle(events: DataFrame, key: str) -> DataFrame:
+    """``idle_points`` as a stream: (key, idle_from) once nothing was in flight for the quiet time.
+
+    ``events``: key, ts (a timestamp with watermark), kind (start or end of a request), request_id. The state
+    of a key holds its open requests and since when none is; a timer of the event time ends the quiet time
+    or lets the request that expires next go. Late events beyond the watermark are not seen.
+    """
+
+    def told(group: tuple, since: int) -> tuple:
+        return (*group, pd.Timestamp(since, unit="ms"))
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        raw, since = state.get if state.exists else ("{}", -1)
+        open_: dict[str, int] = json.loads(raw)
+        out: list[tuple] = []
+
+        def until(now: int) -> None:
+            """What happens up to ``now`` without an event: requests expire, quiet times pass."""
+            nonlocal since
+            for request, begun in sorted(open_.items(), key=lambda x: (x[1], x[0])):
+                if begun + 1000 * EXPIRY_S <= now:
+                    del open_[request]
+                    since = begun + 1000 * EXPIRY_S if not open_ else -1
+            if since >= 0 and now - since >= QUIET_MS:
+                out.append(told(group, since))
+                since = -1
+
+        rows = pd.concat(list(batches)) if not state.hasTimedOut else None
+        if rows is None:
+            until(state.getCurrentWatermarkMs())
+        else:
+            rows = rows.assign(ms=rows["ts"].astype("datetime64[ns]").astype("int64") // 1_000_000, end=rows["kind"] == "start")
+            for e in rows.sort_values(["ms", "end", "request_id"]).itertuples(index=False):
+                until(int(e.ms))
+                if e.kind == "start":
+                    open_[e.request_id], since = int(e.ms), -1
+                elif e.kind == "end" and open_.pop(e.request_id, None) is not None and not open_:
+                    since = int(e.ms)
+        if open_ or since >= 0:
+            state.update((json.dumps(open_), since))
+            due = min(open_.values()) + 1000 * EXPIRY_S if open_ else since + QUIET_MS
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[key, "idle_from"])
+
+    kind = events.schema[key].dataType.simpleString()
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, idle_from timestamp", _OPEN, "append", "EventTimeTimeout")
+
+
+def streamed_late_bodies(found: DataFrame, bodies: DataFrame, within: str) -> DataFrame:
+    """``with_late_bodies`` of two streams (T2): a body goes to its (request_id, url) if it comes ``within`` after
+    the hop ended. ``found``: request_id, url, ts, newest (no newer hop took the id); ``bodies``: request_id, url, ts, body.
+    Both need a watermark; state older than the interval is dropped."""
+    late = bodies.select(F.col("request_id").alias("b_request"), F.col("url").alias("b_url"), F.col("ts").alias("b_ts"), "body")
+    met = (F.col("request_id") == F.col("b_request")) & (F.col("url") == F.col("b_url")) & F.col("newest") & (F.col("b_ts") >= F.col("ts")) & (F.col("b_ts") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
+    return found.join(late, met, "leftOuter").drop("b_request", "b_url")
+
+
 def streamed_sessions(events: DataFrame, gap: str, lateness: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """``sessions`` of a stream with a watermark; ``ts`` is cast, since watermarks need a time zone."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
