@@ -47,6 +47,12 @@ def test_json_parameters():
     assert requests.cut_bytes("é" * 100, 5) == "éé"
 
 
+def test_values_are_cut_between_characters(spark):
+    texts = ["é" * 100, "a" * 127 + "é", "a" * 126 + "漢x", "🙂" * 40, "x" + "🙂" * 40, "xy" + "🙂" * 40, "", None, "b" * 128]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(requests.cut_value(F.col("t"))).collect()] == [t if t is None else requests.cut_bytes(t, 128) for t in texts]
+
+
 def test_multipart():
     body = b'--b\r\nContent-Disposition: form-data; name="f"; filename="x"\r\n\r\nq\r\n--b\r\nContent-Disposition: form-data; name="t"\r\n\r\nv\r\n--b--\r\n'
     assert requests.multipart_parameters("multipart/form-data; boundary=b", body) == [("f", "[FILE]"), ("t", "")]

@@ -1,5 +1,6 @@
 """Order rules and edge cases that the table queries don't reach."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from webloom.operators import assets, association, crawl, html, javascript
@@ -63,7 +64,9 @@ def test_lists_sinks_and_artifacts(spark, tmp_path):
     assert [r[0] for r in bodies.select(io.looks_like_js(F.col("b"))).collect()] == [True, False, False, False, True]
 
 
-def test_candidates_without_an_entry_take_every_confirmed_base(spark):
+@pytest.mark.parametrize("listed", [20_000, 1])
+def test_candidates_without_an_entry_take_every_confirmed_base(spark, monkeypatch, listed):
+    monkeypatch.setattr(association, "LISTED", listed)
     none = F.array().cast("array<struct<name:string,value:string>>")
     static = spark.createDataFrame([(1, "", "/user/list?x=1", "", ""), (2, "https://a/", "/gw/one", "", ""), (3, "https://c/", "../up?q=2", "", ""), (4, "https://a/", "//cdn/api", "GET", "")], "static_id long, entry_url string, raw_url string, method string, source_js_url string")
     static = static.withColumns({"query_params": none, "body_params": none, "type": F.lit(""), "source": F.lit("")})

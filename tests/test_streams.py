@@ -57,8 +57,8 @@ def test_streamed_idle_matches_batch(spark, tmp_path):
 
 def test_streamed_late_bodies(spark, tmp_path):
     at = lambda s: F.timestamp_seconds(F.lit(s))
-    found = spark.range(4).select(F.concat(F.lit("r"), "id").alias("request_id"), F.lit("u").alias("url"), F.timestamp_seconds(F.col("id") * 10).alias("ts"), (F.col("id") != 3).alias("newest"))
-    bodies = spark.range(4).select(F.concat(F.lit("r"), "id").alias("request_id"), F.lit("u").alias("url"), F.timestamp_seconds(F.col("id") * 10 + F.when(F.col("id") == 2, 60).otherwise(2)).alias("ts"), F.concat(F.lit("body"), "id").alias("body"))
+    found = spark.range(4).select(F.concat(F.lit("r"), "id").alias("request_id"), F.lit("u").alias("url"), F.timestamp_seconds(F.col("id") * 10 + 1000).alias("ts"), (F.col("id") != 3).alias("newest"))
+    bodies = spark.range(4).select(F.concat(F.lit("r"), "id").alias("request_id"), F.lit("u").alias("url"), F.timestamp_seconds(F.col("id") * 10 + 1000 + F.when(F.col("id") == 2, 60).otherwise(2)).alias("ts"), F.concat(F.lit("body"), "id").alias("body"))
     ends = spark.range(1).select(F.lit("end").alias("request_id"), F.lit("u").alias("url"), at(9000).alias("ts"))
     for name, df, end in (("found", found, ends.withColumn("newest", F.lit(True))), ("bodies", bodies, ends.withColumn("body", F.lit("x")))):
         df.coalesce(1).write.parquet(str(tmp_path / name))

@@ -53,9 +53,10 @@ def cut_bytes(value: str, limit: int) -> str:
     return value.encode("utf-8", "replace")[:limit].decode("utf-8", "ignore")
 
 
-@vectorized("string")
-def cut_value(value: pd.Series) -> pd.Series:
-    return value.map(lambda v: None if v is None else cut_bytes(v, VALUE_BYTES))
+def cut_value(value: Column, limit: int = VALUE_BYTES) -> Column:
+    """At most ``limit`` UTF-8 bytes, cut between characters (U18): of the four cuts up to ``limit``, the longest that is UTF-8."""
+    cut = [F.try_validate_utf8(F.substring(F.encode(value, "utf-8"), 1, max(limit - k, 0)).cast("string")) for k in range(4)]
+    return F.when(F.octet_length(value) <= limit, value).otherwise(F.coalesce(*cut))
 
 
 class Verbatim(float):

@@ -62,6 +62,9 @@ LEXED = "struct<parse_ok:boolean,imports:array<string>,routes:array<string>,chun
 _CALL = pa.struct([("raw", pa.string()), ("call", pa.string()), ("method", pa.string()), ("names", pa.list_(pa.string()))])
 _LEXED = pa.struct([("parse_ok", pa.bool_()), ("imports", pa.list_(pa.string())), ("routes", pa.list_(pa.string())), ("chunks", pa.list_(pa.string())), ("map_reference", pa.string()), ("rule", pa.string()), ("calls", pa.list_(_CALL))])
 NO_STRINGS = "array<string>"
+IMPORTS = "array<struct<raw:string,resolved_url:string,framework:string,source:string,confidence:string,component:string,deps:array<string>>>"
+ROUTES = "array<struct<route:string,component:string,lazy_js:string,framework:string,source:string,confidence:string,deps:array<string>>>"
+ASSETS = "array<struct<asset_url:string,type:string,framework:string,source:string,confidence:string>>"
 
 
 def scanned(js: DataFrame, limit: int = 5 << 20) -> DataFrame:
@@ -91,7 +94,9 @@ def _matches(pattern: str, groups: int, text: Column | None = None) -> Column:
 
 def _rows(js: DataFrame, found: Column) -> DataFrame:
     """One row for each finding of an array of structs: url, ord and its fields."""
-    each = js.select("url", F.posexplode(found).alias("ord", "f"))
+    # The outer form: for the inner one the optimizer adds a filter on the array's size and pushes it below what the
+    # array is made of, so that all of it would be planned and computed twice.
+    each = js.select("url", F.posexplode_outer(found).alias("ord", "f")).where("ord is not null")
     return each.select("url", F.col("ord").cast("long").alias("ord"), "f.*")
 
 
@@ -122,8 +127,8 @@ def _asset(asset_url: Column, framework: str, source: Column, confidence: Column
     return F.struct(asset_url.alias("asset_url"), (F.lit("lazy_chunk_js") if kind is None else kind).alias("type"), F.lit(framework).alias("framework"), source.alias("source"), confidence.alias("confidence"))
 
 
-def _none(like: Column) -> Column:
-    return F.slice(like, 1, 0)
+def _none(kind: str) -> Column:
+    return F.array().cast(kind)
 
 
 def dynamic_imports_in(framework: str = "", source: str = "import_expression", sure: str = "") -> Column:
@@ -146,7 +151,7 @@ def static_imports_in(framework: str = "") -> Column:
 def token_imports_in(framework: str = "") -> Column:
     by_tokens = _known(F.col("lex.imports"), framework)
     by_pattern = F.concat(dynamic_imports_in(framework), static_imports_in(framework))
-    return F.when(F.col("lex.parse_ok"), by_tokens).when(F.col("lex").isNotNull(), by_pattern).otherwise(_none(by_tokens))
+    return F.when(F.col("lex.parse_ok"), by_tokens).when(F.col("lex").isNotNull(), by_pattern).otherwise(_none(IMPORTS))
 
 
 def routes_in(framework: str = "") -> Column:
@@ -160,7 +165,7 @@ def routes_in(framework: str = "") -> Column:
 
 def token_routes_in(framework: str = "") -> Column:
     by_tokens = F.transform(F.col("lex.routes"), lambda r: _route(r, F.lit(""), F.lit(""), framework, "ast", F.lit("high")))
-    return F.when(F.col("lex.parse_ok"), by_tokens).when(F.col("lex").isNotNull(), routes_in(framework)).otherwise(_none(by_tokens))
+    return F.when(F.col("lex.parse_ok"), by_tokens).when(F.col("lex").isNotNull(), routes_in(framework)).otherwise(_none(ROUTES))
 
 
 def paths_in() -> Column:
@@ -325,19 +330,20 @@ def _of_imports(found: Column, framework: str) -> Column:
 
 
 def _of_paths(framework: str, ok=None) -> Column:
-    found = paths_in() if ok is None else F.filter(paths_in(), ok)
+    found = F.col("paths") if ok is None else F.filter("paths", ok)
     return F.transform(found, lambda p: _asset(p, framework, F.lit("regex_candidate"), F.lit("low")))
 
 
-def vite_in() -> tuple[Column, Column, Column]:
-    """Imports, routes and assets of Vite scripts (J13): an import's own URL, then its dependencies; the
-    table of the definition; quoted paths."""
-    mapped, implied = asset_map_in()
-    found = F.concat(dynamic_imports_in("vite", "vite_import", "high"), map_deps_in(), mapped)
+def vite_imports() -> Column:
+    return F.concat(dynamic_imports_in("vite", "vite_import", "high"), map_deps_in(), asset_map_in()[0])
+
+
+def vite_assets(found: Column) -> Column:
+    """An import's own URL, then its dependencies; the table of the definition; quoted paths."""
     listed = lambda x: F.transform(F.filter(x["deps"], urls.is_js_path), lambda d: _asset(d, "vite", F.lit("vite_map_deps"), F.lit("medium")))
-    own = lambda x: F.when(x["resolved_url"] != "", F.array(_asset(x["resolved_url"], "vite", x["source"], x["confidence"]))).otherwise(_none(listed(x)))
+    own = lambda x: F.when(x["resolved_url"] != "", F.array(_asset(x["resolved_url"], "vite", x["source"], x["confidence"]))).otherwise(_none(ASSETS))
     table = F.transform(F.filter(F.coalesce("table", _strings()), urls.is_js_path), lambda d: _asset(urls.joined(F.col("url"), d), "vite", F.lit("vite_map_deps"), F.lit("medium")))
-    return found, implied, F.concat(F.flatten(F.transform(found, lambda x: F.concat(own(x), listed(x)))), table, _of_paths("vite", urls.is_js_path))
+    return F.concat(F.flatten(F.transform(found, lambda x: F.concat(own(x), listed(x)))), table, _of_paths("vite", urls.is_js_path))
 
 
 def chunk_url(chunk: Column) -> Column:
@@ -363,8 +369,8 @@ def chunk_url(chunk: Column) -> Column:
     return F.when(public == "", "").otherwise(F.concat(public, name))
 
 
-def webpack_in(framework: str = "webpack") -> tuple[Column, Column, Column]:
-    """Imports, routes and assets of webpack scripts."""
+def webpack_imports(framework: str = "webpack") -> Column:
+    """Chunks that are pushed, chunks that are required, then import()."""
 
     def chunks(ids: Column, said, sure: str) -> Column:
         named = F.transform(ids, lambda i: F.struct(said(i).alias("raw"), chunk_url(i).alias("to")))
@@ -372,53 +378,79 @@ def webpack_in(framework: str = "webpack") -> tuple[Column, Column, Column]:
 
     pushed = chunks(F.transform(_matches(CHUNK_PUSH, 2), lambda m: F.concat(m["g1"], m["g2"])), lambda i: F.concat(F.lit("webpackChunk:"), i), "medium")
     required = chunks(F.when(F.col("lex.parse_ok"), F.col("lex.chunks")).otherwise(_strings()), lambda i: F.concat(F.lit("__webpack_require__.e("), i, F.lit(")")), "high")
-    found = F.concat(pushed, required, dynamic_imports_in(framework))
-    high = F.filter(found, lambda x: (x["confidence"] == "high") & urls.is_js_path(x["resolved_url"]))
-    return found, routes_in(framework), _of_imports(high, framework)
+    return F.concat(pushed, required, dynamic_imports_in(framework))
+
 
+def webpack_assets(found: Column, framework: str = "webpack") -> Column:
+    own = F.filter(found, lambda x: (x["framework"] == framework) & (x["confidence"] == "high") & urls.is_js_path(x["resolved_url"]))
+    return _of_imports(own, framework)
+
+
+def next_routes() -> Column:
+    """Routes of the build manifest."""
+    place = lambda c: urls.joined(F.col("url"), F.when(c.startswith("/"), c).otherwise(F.concat(F.lit("/_next/static/chunks/"), c)))
+    row = lambda route, chunks, sure: F.struct(route.alias("route"), chunks.alias("chunks"), F.lit(sure).alias("sure"))
+    strict = F.transform(F.map_entries("listed"), lambda e: row(e["key"], e["value"], "high"))
+    loose = F.transform(_matches(NEXT_ROUTE, 2, F.coalesce("manifest", F.lit(""))), lambda m: row(m["g1"], F.regexp_extract_all(m["g2"], F.lit(r"\"([^\"]+\.js)\""), F.lit(1)), "medium"))
+    both = F.when(F.coalesce(F.size("listed"), F.lit(0)) > 0, strict).otherwise(F.filter(loose, lambda x: F.size(x["chunks"]) > 0))
+    placed = F.transform(both, lambda x: F.struct(x["route"].alias("route"), x["sure"].alias("sure"), F.transform(x["chunks"], place).alias("deps")))
+    return F.transform(placed, lambda x: _route(x["route"], F.lit(""), F.coalesce(F.get(x["deps"], F.lit(0)), F.lit("")), "next", "next_manifest", x["sure"], x["deps"]))
 
-def next_in() -> tuple[Column, Column, Column]:
-    """Manifest and chunk URLs, and the routes of the build manifest."""
+
+def next_assets(found: Column) -> Column:
+    """Manifest and chunk URLs."""
     given = F.regexp_extract("body", NEXT_BUILD, 1)
     build = F.when(given != "", given).otherwise(F.regexp_extract("url", NEXT_MANIFEST, 1))
     names = F.when(build != "", F.transform(F.array(*map(F.lit, ("_buildManifest", "_ssgManifest", "app-build-manifest"))), lambda n: F.concat(F.lit("/_next/static/"), build, F.lit("/"), n, F.lit(".js")))).otherwise(_strings())
     paths = F.concat(names, F.regexp_extract_all("body", F.lit(NEXT_MANIFEST), F.lit(0)), F.regexp_extract_all("body", F.lit(NEXT_CHUNK), F.lit(0)))
-    assets = F.transform(F.array_distinct(F.transform(paths, lambda p: urls.joined(F.col("url"), p))), lambda u: _asset(u, "next", F.lit("next_manifest"), F.lit("high")))
-    place = lambda c: urls.joined(F.col("url"), F.when(c.startswith("/"), c).otherwise(F.concat(F.lit("/_next/static/chunks/"), c)))
-    table = lambda route, chunks, sure: F.struct(route.alias("route"), F.transform(chunks, place).alias("deps"), F.lit(sure).alias("sure"))
-    strict = F.transform(F.map_entries("listed"), lambda e: table(e["key"], e["value"], "high"))
-    loose = F.transform(_matches(NEXT_ROUTE, 2, F.coalesce("manifest", F.lit(""))), lambda m: table(m["g1"], F.regexp_extract_all(m["g2"], F.lit(r"\"([^\"]+\.js)\""), F.lit(1)), "medium"))
-    both = F.when(F.coalesce(F.size("listed"), F.lit(0)) > 0, strict).otherwise(F.filter(loose, lambda x: F.size(x["deps"]) > 0))
-    return dynamic_imports_in("next"), F.transform(both, lambda x: _route(x["route"], F.lit(""), F.coalesce(F.get(x["deps"], F.lit(0)), F.lit("")), "next", "next_manifest", x["sure"], x["deps"])), assets
+    return F.transform(F.array_distinct(F.transform(paths, lambda p: urls.joined(F.col("url"), p))), lambda u: _asset(u, "next", F.lit("next_manifest"), F.lit("high")))
 
 
-def nuxt_in() -> tuple[Column, Column, Column]:
-    """Nuxt asset paths and route map."""
-    paths = F.array_distinct(F.regexp_extract_all("body", F.lit(NUXT_PATH), F.lit(0)))
-    assets = F.transform(paths, lambda p: _asset(urls.joined(F.col("url"), p), "nuxt", F.lit("nuxt_static"), F.lit("medium")))
+def nuxt_routes() -> Column:
     route = lambda r: F.when(r.startswith("/"), r).otherwise(F.concat(F.lit("/"), r))
-    mapped = F.transform(_matches(NUXT_ROUTE, 2), lambda m: _route(route(m["g1"]), F.lit(""), urls.joined(F.col("url"), m["g2"]), "nuxt", "nuxt_static", F.lit("medium")))
-    return dynamic_imports_in("nuxt"), mapped, assets
+    return F.transform(_matches(NUXT_ROUTE, 2), lambda m: _route(route(m["g1"]), F.lit(""), urls.joined(F.col("url"), m["g2"]), "nuxt", "nuxt_static", F.lit("medium")))
+
+
+def nuxt_assets(found: Column) -> Column:
+    paths = F.array_distinct(F.regexp_extract_all("body", F.lit(NUXT_PATH), F.lit(0)))
+    return F.transform(paths, lambda p: _asset(urls.joined(F.col("url"), p), "nuxt", F.lit("nuxt_static"), F.lit("medium")))
+
+
+def _packed(own: Column, kind: str) -> Column:
+    return F.when(F.col("body").rlike(r"__webpack_require__|self\.webpackChunk|webpackJsonp"), own).otherwise(_none(kind))
 
 
-def angular_in() -> tuple[Column, Column, Column]:
-    """Webpack's findings where its runtime shows, lazy routes, and assets classed by name."""
-    packed = F.col("body").rlike(r"__webpack_require__|self\.webpackChunk|webpackJsonp")
-    found, seen, assets = (F.when(packed, c).otherwise(_none(c)) for c in webpack_in())
+def angular_imports() -> Column:
+    """Webpack's findings where its runtime shows."""
+    return F.concat(_packed(webpack_imports(), IMPORTS), dynamic_imports_in("angular"))
+
+
+def angular_routes() -> Column:
     lazy = F.transform(_matches(LOAD_CHILDREN, 1), lambda m: _route(F.lit(""), F.lit(""), urls.joined(F.col("url"), m["g1"]), "angular", "regex_candidate", F.lit("medium")))
+    return F.concat(_packed(routes_in("webpack"), ROUTES), lazy)
+
+
+def angular_assets(found: Column) -> Column:
+    """Webpack's assets, classed by name."""
     low = lambda x: F.lower(x["asset_url"])
     kind = lambda x: F.when(low(x).contains("runtime"), "runtime_js").when(low(x).contains("polyfills"), "vendor_js").when(low(x).contains("main"), "entry_js").otherwise(x["type"])
-    classed = F.transform(assets, lambda x: _asset(x["asset_url"], "webpack", x["source"], x["confidence"], kind(x)))
-    return F.concat(found, dynamic_imports_in("angular")), F.concat(seen, lazy), classed
+    return F.transform(webpack_assets(found), lambda x: _asset(x["asset_url"], "webpack", x["source"], x["confidence"], kind(x)))
 
 
-def generic_in() -> tuple[Column, Column, Column]:
-    """Imports, routes, quoted paths first and resolved imports after."""
-    found = dynamic_imports_in()
-    return found, routes_in(), F.concat(_of_paths("unknown"), _of_imports(found, "unknown"))
+def generic_assets(found: Column) -> Column:
+    """Quoted paths first and resolved imports after."""
+    return F.concat(_of_paths("unknown"), _of_imports(found, "unknown"))
 
 
-ANALYSES = {"vite": vite_in, "webpack": webpack_in, "next": next_in, "nuxt": nuxt_in, "angular": angular_in, "generic": generic_in}
+#: By route_key: imports, routes, and assets given the imports.
+ANALYSES = {
+    "vite": (vite_imports, lambda: asset_map_in()[1], vite_assets),
+    "webpack": (webpack_imports, lambda: routes_in("webpack"), webpack_assets),
+    "next": (lambda: dynamic_imports_in("next"), next_routes, next_assets),
+    "nuxt": (lambda: dynamic_imports_in("nuxt"), nuxt_routes, nuxt_assets),
+    "angular": (angular_imports, angular_routes, angular_assets),
+    "generic": (dynamic_imports_in, routes_in, generic_assets),
+}
 
 
 def analysis(lexed: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -426,8 +458,16 @@ def analysis(lexed: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFram
     table without route_key, of all."""
     own = lexed.where(F.col("route_key") == key) if "route_key" in lexed.columns else lexed
     rows = prepared(own if "lex" in own.columns else own.withColumn("lex", F.lit(None).cast(LEXED)))
-    found, seen, assets = ANALYSES[key]()
-    return _rows(rows, found), _rows(rows, seen), first_of(_rows(rows, assets), "url", "asset_url")
+    imports, seen, assets = ANALYSES[key]
+    rows = rows.withColumns({"found": imports(), "paths": paths_in()})
+    return _rows(rows, F.col("found")), _rows(rows, seen()), first_of(_rows(rows, assets(F.col("found"))), "url", "asset_url")
+
+
+def _by_key(parts: dict[str, Column], kind: str) -> Column:
+    out = None
+    for key, c in parts.items():
+        out = F.when(F.col("route_key") == key, c) if out is None else out.when(F.col("route_key") == key, c)
+    return F.coalesce(out, _none(kind))
 
 
 def analysed(lexed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -437,19 +477,12 @@ def analysed(lexed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ``lexed`` is ``dispatched(scanned(js))``. A script's findings of a kind are one array, whose
     framework part is a CASE on route_key: each of the three results reads the scripts once.
     """
-    rows, own = prepared(lexed), [f() for f in ANALYSES.values()]
-
-    def by_framework(n: int) -> Column:
-        out = F.when(F.col("route_key") == next(iter(ANALYSES)), own[0][n])
-        for key, parts in list(zip(ANALYSES, own, strict=True))[1:]:
-            out = out.when(F.col("route_key") == key, parts[n])
-        return F.coalesce(out, _none(own[0][n]))
-
-    extra = _of_paths("")
-    assets = F.concat(_of_imports(token_imports_in(), ""), by_framework(2), F.when(F.col("framework") != "unknown", extra).otherwise(_none(extra)))
+    rows = prepared(lexed).withColumns({"tokens": token_imports_in(), "found": _by_key({k: f[0]() for k, f in ANALYSES.items()}, IMPORTS), "paths": paths_in()})
+    extra = F.when(F.col("framework") != "unknown", _of_paths("")).otherwise(_none(ASSETS))
+    assets = F.concat(_of_imports(F.col("tokens"), ""), _by_key({k: f[2](F.col("found")) for k, f in ANALYSES.items()}, ASSETS), extra)
     return (
-        first_of(_rows(rows, F.concat(token_imports_in(), by_framework(0))), "url", "raw"),
-        first_of(_rows(rows, F.concat(token_routes_in(), by_framework(1))), "url", "route", "lazy_js"),
+        first_of(_rows(rows, F.concat("tokens", "found")), "url", "raw"),
+        first_of(_rows(rows, F.concat(token_routes_in(), _by_key({k: f[1]() for k, f in ANALYSES.items()}, ROUTES))), "url", "route", "lazy_js"),
         first_of(_rows(rows, assets), "url", "asset_url"),
     )
 

@@ -53,7 +53,7 @@ def j7_all_source_map_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j12_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.analysis(scripts(spark, sf_dir), "generic")[2].select("url", "asset_url", "source", "confidence")
+    return J.analysis(J.scanned(scripts(spark, sf_dir)), "generic")[2].select("url", "asset_url", "source", "confidence")
 
 
 def j6_source_map_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def j11_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j13_j14_j15_vite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.analysis(J.dispatched(scripts(spark, sf_dir)), "vite")[2].select("url", "asset_url", "source", "confidence")
+    return J.analysis(J.dispatched(J.scanned(scripts(spark, sf_dir))), "vite")[2].select("url", "asset_url", "source", "confidence")
 
 
 def j15_asset_map_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,16 +89,16 @@ def j16_j17_webpack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j19_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.analysis(J.dispatched(scripts(spark, sf_dir)), "next")[2].select("url", "asset_url")
+    return J.analysis(J.dispatched(J.scanned(scripts(spark, sf_dir))), "next")[2].select("url", "asset_url")
 
 
 def j19_next_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = J.analysis(J.dispatched(scripts(spark, sf_dir)), "next")[1]
+    found = J.analysis(J.dispatched(J.scanned(scripts(spark, sf_dir))), "next")[1]
     return found.select("url", "route", "lazy_js", F.array_join("deps", " ").alias("deps"), "confidence")
 
 
 def j20_nuxt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.analysis(J.dispatched(scripts(spark, sf_dir)), "nuxt")[2].select("url", "asset_url", "confidence")
+    return J.analysis(J.dispatched(J.scanned(scripts(spark, sf_dir))), "nuxt")[2].select("url", "asset_url", "confidence")
 
 
 def j21_angular(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,11 @@ def u16_form_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("o_orderkey", "p.name", "p.value")
 
 
+def u18_cut_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sql(spark, sf_dir, "SELECT doc_id, text FROM documents", "documents")
+    return rows.select("doc_id", R.cut_value(F.col("text")).alias("value"))
+
+
 def u20_http_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = sql(spark, sf_dir, "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'axios.get' WHEN 1 THEN 'http.postJson' WHEN 2 THEN 'getter' WHEN 3 THEN 'api.delete_request' WHEN 4 THEN 'fetch' ELSE '$.PUT' END AS call, CASE WHEN event_id % 7 = 0 THEN ' patch ' ELSE '' END AS method FROM events", "events")
     return calls.select("event_id", R.http_method(F.col("method"), F.col("call")).alias("method"))
@@ -143,6 +148,8 @@ regexp_replace(substr(regexp_replace(path || CASE WHEN q IN ('', '?') THEN '' EL
     "u23_segments": f"SELECT page_id, array_to_string(list_filter(string_split({_PATH}, '/'), lambda s: s NOT IN ('', '.', '..')), '|') AS segments FROM pages",
     "u24_headers": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS x_cust FROM orders",
 }
+_CUTS = ", ".join(f"TRY(decode(array_slice(encode(text), 1, {128 - k})))" for k in range(4))
+ORACLES["u18_cut_values"] = f"SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 128 THEN text ELSE coalesce({_CUTS}) END AS value FROM documents"
 ORACLES["u1_origin_any"] = ORACLES["u1_canonical_origin"]
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[:1] == "u" and k[1:2].isdigit() and callable(f)}
