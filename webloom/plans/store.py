@@ -62,21 +62,21 @@ def u11_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.directories(sql(spark, sf_dir, "SELECT url FROM pages UNION ALL SELECT regexp_replace(url, '^http:', 'https:') FROM pages", "pages"))
 
 
-def c1_c2_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = sql(spark, sf_dir, LINKS, "pages").select(F.col("src").cast("string").alias("from_url"), F.col("dst").cast("string").alias("url"), "ord", F.lit("high").alias("confidence"), F.lit(True).alias("fetchable"))
-    entry = sql(spark, sf_dir, "SELECT 'o' AS origin, '0' AS url, 0 AS ord", "pages")
-    return C.crawled(entry, edges, max_depth=4).select("url", "depth")
+#: The first page of each origin is where its crawl begins.
+ENTRIES = "SELECT regexp_extract(url, '^(https?://[^/]*)', 1) AS origin, CAST(min(page_id) AS STRING) AS url, min(page_id) AS ord FROM pages GROUP BY 1"
+
 
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, LINKS, "pages").select(F.col("src").cast("string").alias("from_url"), F.col("dst").cast("string").alias("url"), "ord", F.lit("high").alias("confidence"), F.lit(True).alias("fetchable"))
 
-def c1_c2_crawl_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The crawl at the production depth, every 1000th page an entry; a test holds it against brute force."""
-    edges = sql(spark, sf_dir, LINKS, "pages").select(F.col("src").cast("string").alias("from_url"), F.col("dst").cast("string").alias("url"), "ord", F.lit("high").alias("confidence"), F.lit(True).alias("fetchable"))
-    entry = sql(spark, sf_dir, "SELECT 'o' AS origin, CAST(page_id AS STRING) AS url, page_id AS ord FROM pages WHERE page_id % 1000 = 0", "pages")
-    return C.crawled(entry, edges).select("url", "depth")
+
+def c1_c2_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl at its production depth, from every origin of the table."""
+    return C.crawled(sql(spark, sf_dir, ENTRIES, "pages"), _edges(spark, sf_dir)).select("origin", "url", "depth")
 
 
 def c3_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = sql(spark, sf_dir, LINKS, "pages").select(F.col("src").cast("string").alias("from_url"), F.col("dst").cast("string").alias("url"), "ord", F.lit("high").alias("confidence"), F.lit(True).alias("fetchable"))
+    edges = _edges(spark, sf_dir)
     entry = sql(spark, sf_dir, "SELECT 'o' AS origin, '0' AS url, 0 AS ord", "pages")
     return C.crawled(entry, edges, max_depth=10, budget=100).agg(F.count(F.lit(1)).alias("attempts"))
 
@@ -282,7 +282,8 @@ SELECT hash, CASE WHEN row_number() OVER (PARTITION BY path ORDER BY ord) > 1 TH
     "u11_directories": """WITH o AS (SELECT DISTINCT regexp_extract(u, '^(https?://[^/]*)', 1) AS origin FROM (SELECT url AS u FROM pages UNION ALL SELECT regexp_replace(url, '^http:', 'https:') FROM pages) t),
 b AS (SELECT origin, regexp_replace(regexp_extract(origin, '//(.*)$', 1), '[^a-z0-9_-]', '_', 'g') AS base FROM o)
 SELECT origin, CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN base || '_' || substr(sha256(origin), 1, 8) ELSE base END AS directory FROM b""",
-    "c1_c2_crawl": f"{_CRAWL.replace("@depth", "4")} SELECT CAST(url AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY url",
+    "c1_c2_crawl": f"""WITH RECURSIVE l AS MATERIALIZED ({LINKS}), e AS ({ENTRIES}), w(origin, url, depth) AS (SELECT origin, ord, 0 FROM e UNION SELECT origin, dst, depth + 1 FROM w JOIN l ON src = url WHERE depth < 10)
+SELECT origin, CAST(url AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY origin, url""",
     "c3_budget": f"{_CRAWL.replace("@depth", "10")} SELECT least(100, count(DISTINCT url)) AS attempts FROM w",
     "c6_outcomes": """WITH u AS (SELECT o_orderkey AS k, unnest(CASE WHEN o_orderkey % 3 = 0 THEN ['u', 'f'] ELSE ['u'] END) AS p FROM orders)
 SELECT p || CAST(k AS VARCHAR) AS asset_url, CASE WHEN k % 4 = 0 THEN 'failed' ELSE 'confirmed' END AS status, CASE WHEN k % 4 = 0 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN k % 4 = 0 THEN '' ELSE 'text/js' END AS content_type,
