@@ -49,13 +49,15 @@ def record_batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int = 256) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int = 0) -> DataFrame:
     """Gapless numbers from 0 within each value of ``keys``.
 
-    A key may hold any share of all rows: its rows are hashed to ``buckets`` windows,
+    A key may hold any share of all rows: its rows are hashed to ``buckets`` windows (by
+    default as many as there are shuffle partitions, 256 at least),
     numbered there, and shifted by the rows of the buckets before. ``df`` is read
     twice, so give a narrow saved table. Equal rows get distinct numbers.
     """
+    buckets = buckets or max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     shifts = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

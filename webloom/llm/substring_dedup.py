@@ -212,8 +212,9 @@ def repeats(docs: DataFrame, length: int = 50, extend: bool = False) -> tuple[Da
     slim = keyed(docs)
     level = saved(first_level(slim, length), "level")
     owners = saved(level.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("owner")), "owners")
-    owned = level.join(owners, "digest", "left")
-    first = saved(owned.where("doc_id = owner").select(*KEY, "digest", "seeds"), "first")
+    # Joins on a digest that very many copies share are apart, each from saved tables, so that either can be split.
+    owned = saved(level.drop("seeds").join(owners, "digest", "left"), "owned")
+    first = saved(level.join(owners.withColumnRenamed("owner", "doc_id"), ["digest", "doc_id"], "left_semi").select(*KEY, "digest", "seeds"), "first")
     seeds = first.select(*KEY, F.explode("seeds").alias("seed"))
     twice = saved(seeds.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed"), "seeds")
     marks = saved(seeds.join(twice, "seed").groupBy(*KEY).agg(F.collect_set("seed").alias("marks")), "marks")
@@ -238,7 +239,7 @@ def repeats(docs: DataFrame, length: int = 50, extend: bool = False) -> tuple[Da
     reach = saved(first.select(*KEY, "digest").join(longest, KEY).groupBy("digest").agg(F.max("longest").alias("longest")), "longest")
     told = owned.select(*KEY, "digest", "n_words", "sha", (F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False)) & (F.col("n_words") >= length)).alias("copy"))
     status = saved(told.join(reach, "digest", "left").drop("digest").withColumn("longest", F.coalesce("longest", F.lit(0))), "status")
-    discard(level, owners, first, reach, *reached)
+    discard(level, owners, owned, first, reach, *reached)
     return status, remove
 
 
