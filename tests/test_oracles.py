@@ -17,9 +17,7 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted(([plain(r[c]) for c in columns] for r in df.collect()), key=repr)
-    if name not in ORACLES:
-        assert rows
-        return
+    assert rows
     told = duck.execute(ORACLES[name])
     names = [d[0] for d in told.description]
     assert sorted(names) == columns

@@ -24,9 +24,9 @@ def made(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h1_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of the real pages, counted by page."""
+    """Tags of the real pages, counted by page and name."""
     found = H.tags(sql(spark, sf_dir, "SELECT url, html FROM pages", "pages"))
-    return found.where("name = 'a'").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy("url", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def h1_script_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def p7_p8_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MAPS = f"WITH m AS ({MAP})"
 ORACLES = {
-    "h1_tags": "SELECT url, CAST(sum(len(regexp_extract_all(html, '<a [^>]*>'))) AS BIGINT) AS n FROM pages GROUP BY url HAVING sum(len(regexp_extract_all(html, '<a [^>]*>'))) > 0",
+    "h1_tags": r"""SELECT url, name, count(*) AS n FROM (SELECT url, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)([^>]*)>.*?</(script|style)>', '<\1\2>', 'g'), '<([a-z][a-z0-9]*)', 1)) AS name FROM pages) t GROUP BY url, name""",
     "h1_script_bodies": "SELECT url, b AS body FROM (SELECT url, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS b FROM pages) t WHERE b <> ''",
     "h2_bases": f"{_ROWS} SELECT url, CASE WHEN page_id % 3 = 0 THEN base ELSE url END AS base FROM c",
     "h3_h4_h5_entry_assets": f"""{_ROWS} SELECT url, base || 'app.js?a=1&b=2' AS asset_url, 'html_script' AS source, 'high' AS confidence FROM c UNION ALL SELECT url, base || 'm.js', 'html_script', 'high' FROM c
