@@ -137,10 +137,9 @@ def aside(node: Node, wanted: float, room: float) -> list[Heavy]:
 
 def cut(light: DataFrame, root: Node, open_: list[Node], tolerance: float, names: int) -> None:
     """Dimension, threshold and sides of every open node, all nodes of a level together."""
-    chosen, sides, low, shift, below, wanted = F.lit(0).cast("long"), {}, {}, {}, {}, {}
+    sides, low, shift, below, wanted = {}, {}, {}, {}, {}
     for n in open_:
         n.dimension = max(DIMENSIONS, key=lambda d: n.box[d][1] - n.box[d][0])
-        chosen = F.when(F.col("node") == n.name, key(n.dimension)).otherwise(chosen)
         many = n.shards - n.shards // 2
         total = n.size + sum(h.size for h in n.heavy)
         left = aside(n, total * many / n.shards, total * (n.shards - many) / n.shards)
@@ -150,16 +149,18 @@ def cut(light: DataFrame, root: Node, open_: list[Node], tolerance: float, names
         low[n.name], span = n.box[n.dimension][0] * HALF, (n.box[n.dimension][1] - n.box[n.dimension][0] + 1) * HALF
         shift[n.name], below[n.name] = max((span - 1).bit_length() - STEP, 0), 0
         n.at = low[n.name]
-    keyed = light.withColumn("node", place(root)).where(F.col("node").isin([n.name for n in open_])).select("node", "size", chosen.alias("k"))
+    # What depends on the node is looked up by its name: a CASE for each would be multiplied by the one that places a row.
+    of_node = lambda values: F.get(F.array(*[F.lit(values.get(k)).cast("long") for k in range(names)]), F.col("node"))
+    dimension = of_node({n.name: DIMENSIONS.index(n.dimension) for n in open_})
+    keyed = light.withColumn("node", place(root)).select("size", "node", (F.get(F.array(*DIMENSIONS), dimension.cast("int")) * F.lit(HALF) + F.col("tie")).alias("k"))
     live = {n.name: n for n in open_ if n.size}
-    while live:
-        bin_ = F.lit(None).cast("long")
-        for name in live:  # the interval that is left of a node, in 2**STEP bins
-            place_ = F.shiftright(F.col("k") - F.lit(low[name]), shift[name])
-            bin_ = F.when(F.col("node") == name, F.when((F.col("k") >= F.lit(low[name])) & (place_ < (1 << STEP)), place_)).otherwise(bin_)
+    while live:  # the interval that is left of a node, in 2**STEP bins; other rows have bin null
+        inside = keyed.select("size", "node", "k", of_node({n: low[n] for n in live}).alias("lo"), of_node({n: shift[n] for n in live}).cast("int").alias("by"))
+        binned = inside.select("size", "node", F.expr(f"CASE WHEN k >= lo AND shiftright(k - lo, by) < {1 << STEP} THEN shiftright(k - lo, by) END").alias("bin"))
         sums: dict[int, list[tuple[int, int]]] = {}
-        for r in keyed.select("node", "size", bin_.alias("bin")).where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("bytes")).collect():
-            sums.setdefault(r["node"], []).append((r["bin"], r["bytes"]))
+        for r in binned.groupBy("node", "bin").agg(F.sum("size").alias("bytes")).collect():
+            if r["bin"] is not None:
+                sums.setdefault(r["node"], []).append((r["bin"], r["bytes"]))
         for name, node in list(live.items()):
             for b, weight in sorted(sums.get(name, [])):
                 start, before = low[name] + (b << shift[name]), below[name]
@@ -206,5 +207,5 @@ def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
     shard = F.element_at(F.array(*[F.lit(first.get(k, 0)) for k in range(max(first) + 1)]), place(root) + 1)
     light = rows.where(~F.col("heavy")).withColumn("shard", shard.cast("int"))
     heavy = rows.where("heavy").join(dealt, "unit").withColumn("shard", F.col("own"))
-    placed = light.select("doc_id", "size", "text_crc32", "shard").union(heavy.select("doc_id", "size", "text_crc32", "shard"))
+    placed = saved(light.select("doc_id", "size", "text_crc32", "shard").union(heavy.select("doc_id", "size", "text_crc32", "shard")), "placed")
     return numbered(placed, ["shard"], ["doc_id", "text_crc32"], "slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
