@@ -7,8 +7,9 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: While a table is written: its shuffles are dropped at once, and Python gets small batches, so that neither
@@ -65,7 +66,7 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     top = f"{shared_dir(spark)}/webloom/{spark.sparkContext.applicationId}"
     if top not in _swept:
         _swept.add(top)
-        atexit.register(_remove, spark, top)
+        atexit.register(_sweep, spark, top)
     path = f"{top}/{name}-{uuid.uuid4().hex}"
     with _settings(spark):
         df.write.option("compression", "zstd").parquet(path)
@@ -81,6 +82,11 @@ def discard(*tables: DataFrame) -> None:
             _remove(t.sparkSession, path)
 
 
+def _sweep(spark: SparkSession, top: str) -> None:
+    with suppress(Py4JError, OSError):  # at the end Spark's JVM may be gone already
+        _remove(spark, top)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None:  # stopped: nobody can reach the folder any more
