@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import classifier, near_copies, packing, secrets, substring_dedup
-from webloom.llm.common import saved, table
+from webloom.llm.common import discard, saved, table
 from webloom.llm.queries import tokenizer
 
 
@@ -61,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        before, docs = docs, saved(stage(spark, docs, sf_dir), name)
+        discard(before)  # what the stages before left is not read again
     return STAGES[-1][1](spark, docs, sf_dir)

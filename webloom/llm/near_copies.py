@@ -1,21 +1,26 @@
-"""Near copies by exact Jaccard similarity of word shingles, found through MinHash bands.
+"""Near copies: SimHash fingerprints meet by Golay keys, exact Jaccard similarity decides.
 
 A text is the set of the XXH64 of its five-word shingles (a shorter text is one shingle,
 a text without words the empty set). Texts of one set are one node. Two nodes are linked
 if their similarity is ``least`` per cent or more; it is counted on the whole sets.
 
-Candidates share one of 32 bands of 5 minima. At similarity 0.8 a pair shares none with
-probability (1 - 0.8^5)^32 = 3e-6. 64-bit SimHash puts such a pair 10 bits apart on
-average, too far for Golay keys, which is why this stage does not use those of simhash.py.
-
-Buckets up to ``bucket`` nodes are compared pair by pair. Larger ones go through rounds of
-pivots, a query set that is compared with all nodes of the bucket: first the eight nodes
-that share most large buckets with others (the middle of a group), then 32 times as
-many in each round, drawn from the nodes that are not yet linked to the bucket's largest
-component. A bucket is done when all its nodes that were no pivot are in one component:
-then each pair in different components has had a pivot in it, so none is missed. A group
-of copies collapses in the first rounds; only nodes similar to nothing else in their
-bucket are all compared, so the work is rows x loners, without a list of all pairs.
+A pair at similarity 0.8 differs in about 15 % of its SimHash bits, 10 of 64, so one
+fingerprint with the setting of op5 doesn't reach it. A node has 24 fingerprints of 64 bits,
+each over hashes mixed anew, and each is cut and keyed as in simhash.py: 11 exact bits of
+a segment and the Golay keys of the next one, which meet by far more often than not. Of
+two nodes that meet, a 25th fingerprint is compared inside the join (at most ``FAR`` bits
+apart), then all 24 together (at most ``WIDE`` bits apart, sets of ``SMALL`` and more), so
+chance meetings make no pairs. What is left goes to the exact similarity. The keys are
+read in ``ROUNDS`` parts; only one part is on disk at a time.
+
+Buckets up to ``bucket`` nodes are compared pair by pair. The larger ones that nodes connect
+are one group, with one row a node, whatever the number of its buckets. A group goes
+through rounds of pivots, a query set that is compared with all its nodes: first the eight
+nodes that share most large buckets with others (the middle), then 32 times as many in
+each round, drawn from the nodes that are not yet linked to the group's largest component.
+It is done when all its nodes that were no pivot are in one component: then each pair in
+different components has had a pivot in it, so none is missed. A group of copies collapses
+in the first rounds; only nodes similar to nothing else in their group are all compared.
 
 Rows without a doc_id are kept. Of a component the row of the smallest doc_id stays (of
 rows with that id, the one with the least text digest).
@@ -24,23 +29,32 @@ rows with that id, the one with the least text digest).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import discard, saved, slices
+from webloom.llm.common import discard, record_batch, saved, slices
 from webloom.llm.graph import components
+from webloom.llm.simhash import segment_keys
 
-SEED, SHINGLE, LEAST, BANDS, ROWS = 42, 5, 80, 32, 5
+SEED, SHINGLE, LEAST = 42, 5, 80
+#: Fingerprints with keys, the exact bits in a key, and the parts in which the keys are read.
+PRINTS, EXACT, ROUNDS = 24, 11, 4
+#: At similarity 0.8 the bits that differ are 10 of 64 (deviation 3) and 233 of 1536 (deviation 14).
+FAR, WIDE, SMALL = 21, 310, 32
 _DRAWN = np.random.default_rng(SEED)
-_FLIP = _DRAWN.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
-_TIMES = _DRAWN.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_BAND = _DRAWN.integers(0, 1 << 64, BANDS, dtype=np.uint64)
+_FLIP = _DRAWN.integers(0, 1 << 64, PRINTS + 1, dtype=np.uint64)
+_TIMES = _DRAWN.integers(0, 1 << 64, PRINTS + 1, dtype=np.uint64) | np.uint64(1)
 _PRIME = np.uint64(0x9E3779B185EBCA87)
-#: Pivots of a large bucket in the first round, and how many times more in each further one.
+_LANES = np.uint64(0x0101010101010101)
+#: Pivots of a group in the first round, and how many times more in each further one.
 PIVOTS, MORE = 8, 32
+#: Tasks to which the nodes of a group are dealt.
+SPREAD = 32
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -58,18 +72,18 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype=np.uint64))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """One key for each band; none for the empty set."""
-    if not len(found):
-        return found.view(np.int64)
-    least = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
-    for at in range(0, len(found), 2048):
-        np.minimum(least, ((found[at : at + 2048, None] ^ _FLIP) * _TIMES).min(axis=0), out=least)
-    key = _BAND.copy()
-    for row in least.reshape(ROWS, BANDS):
-        key = (key ^ row) * _PRIME
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def simhashes(found: np.ndarray) -> np.ndarray:
+    """The 25 fingerprints of a set; a bit is 1 if set in over half of the mixed hashes."""
+    ones = np.zeros((PRINTS + 1, 8, 8), np.int64)  # by byte and bit
+    for at in range(0, len(found), 255):  # a lane of 8 bits counts to 255
+        mixed = (found[at : at + 255, None] ^ _FLIP) * _TIMES
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _PRIME
+        mixed ^= mixed >> np.uint64(29)
+        for bit in range(8):
+            lanes = ((mixed >> np.uint64(bit)) & _LANES).sum(axis=0, dtype=np.uint64)
+            ones[:, :, bit] += lanes.astype("<u8").view(np.uint8).reshape(PRINTS + 1, 8)
+    return np.packbits(2 * ones > len(found), axis=2, bitorder="little").reshape(-1).view("<u8").astype(np.uint64).view(np.int64)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -77,30 +91,74 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
 
 
+_NODE = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("sketch", pa.int64()), ("prints", pa.list_(pa.int64()))])
+
+
 def printed(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, node, keys) of the rows of doc_id, digest and text."""
+    """(doc_id, digest, node, size, sketch, prints) of the rows of doc_id, digest and text."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
             node = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), _lists([band_keys(s) for s in sets])], names=["doc_id", "digest", "node", "keys"])
+            made = [simhashes(s) for s in sets]
+            yield record_batch(_NODE, doc_id=batch.column(0), digest=batch.column(1), node=node, size=[len(s) for s in sets], sketch=[m[PRINTS] for m in made], prints=_lists([m[:PRINTS] for m in made]))
+
+    return docs.mapInArrow(run, "doc_id long, digest long, node long, size int, sketch long, prints array<long>")
 
-    return docs.mapInArrow(run, "doc_id long, digest long, node long, keys array<long>")
 
+_KEYED = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("sketch", pa.int64())])
 
-def buckets(prints: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) of nodes of small buckets; (key, node, weight) of large ones, weight telling how many
-    nodes share large buckets with a node."""
-    keyed = saved(prints.select("node", F.explode("keys").alias("key")).distinct(), "bands")
-    sizes = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    few = saved(keyed.join(sizes.where(F.col("n") <= bucket).select("key"), "key"), "few")
-    pairs = saved(few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct(), "candidates")
-    many = saved(keyed.join(sizes.where(F.col("n") > bucket), "key"), "many")
-    large = saved(many.join(many.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("key", "node", "weight"), "large")
-    discard(keyed, sizes, few, many)
-    return pairs, large
+
+def keyed(nodes: DataFrame, first: int, end: int) -> DataFrame:
+    """(key, node, sketch): the Golay keys of the fingerprints ``first`` to ``end`` - 1 of all nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            node, sketch = (batch.column(k).to_numpy() for k in (0, 1))
+            prints = batch.column(2).flatten().to_numpy().reshape(-1, PRINTS)
+            for k in range(first, end):
+                at, key = segment_keys(np.ascontiguousarray(prints[:, k]), EXACT)
+                yield record_batch(_KEYED, key=np.int64(k) << 42 | key, node=node[at], sketch=sketch[at])
+
+    return nodes.where("size > 0").select("node", "sketch", "prints").mapInArrow(run, "key long, node long, sketch long")
+
+
+def apart(a: str, b: str) -> Column:
+    """Bits that differ in all fingerprints of two arrays."""
+    return reduce(add, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PRINTS)))
+
+
+def likely(size: str, prints: str, other: str, those: str, least: int) -> Column:
+    """Whether sizes and fingerprints let the similarity be ``least`` per cent."""
+    alike = (100 * F.least(size, other) >= least * F.greatest(size, other)) & ((F.least(size, other) < SMALL) | (apart(prints, those) <= WIDE))
+    return alike if least >= LEAST else F.lit(True)
+
+
+def buckets(nodes: DataFrame, bucket: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of nodes of small buckets; (key, node, weight, size, prints) of large ones, one row a node:
+    key is the group of all nodes that large buckets connect, weight tells how often others share one with the node."""
+    pairs, large = [], []
+    for turn in range(ROUNDS):
+        keys = keyed(nodes, turn * PRINTS // ROUNDS, (turn + 1) * PRINTS // ROUNDS)
+        same = Window.partitionBy("key")
+        met = saved(keys.withColumns({"n": F.count(F.lit(1)).over(same), "hub": F.min("node").over(same)}).where("n > 1"), "met")
+        few = met.where(F.col("n") <= bucket)
+        a, b = (few.select("key", F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
+        near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= FAR)
+        pairs.append(saved(a.join(b.hint("merge"), "key").where(near).select("a", "b").distinct(), "candidates"))
+        large.append(saved(met.where(F.col("n") > bucket).groupBy("hub", "node").agg(F.sum("n").alias("n")), "large"))
+        discard(met)
+    one, two = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("prints").alias(f"{c}_prints")) for c in "ab")
+    asked = reduce(DataFrame.union, pairs).distinct().join(one, "a").join(two, "b").where(likely("a_size", "a_prints", "b_size", "b_prints", least)).select("a", "b")
+    asked = saved(asked, "candidates")
+    many = reduce(DataFrame.union, large)
+    groups = components(many.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "key")
+    weights = many.groupBy("node").agg(F.sum("n").alias("weight"))
+    grouped = saved(nodes.join(weights, "node").join(groups, "node").select("key", "node", "weight", "size", "prints"), "grouped")
+    discard(*pairs, *large)
+    return asked, grouped
 
 
 def joined(labels: DataFrame, new: DataFrame) -> DataFrame:
@@ -115,34 +173,45 @@ def joined(labels: DataFrame, new: DataFrame) -> DataFrame:
     return out
 
 
-def similar(docs: DataFrame, heads: DataFrame, prints: DataFrame, bucket: int, least: int) -> DataFrame:
+def similar(docs: DataFrame, heads: DataFrame, bucket: int, least: int) -> DataFrame:
     """(node, label) of all nodes that are linked to others."""
-    pairs, large = buckets(prints, bucket)
-    labels = components(links(docs, heads, pairs, least))
-    # Nodes of large buckets that were no pivot there yet.
+    pairs, large = buckets(heads, bucket, least)
+    close = links(docs, heads, pairs, least)
+    labels = saved(components(close), "labels")
+    discard(pairs, close)
+    # Nodes of large buckets that were no pivot yet.
     open_, turn = large, 0
     while not open_.isEmpty():
-        told = saved(large.join(labels, "node", "left").select("key", "node", "weight", F.coalesce("label", "node").alias("label")), "told")
-        waiting = told.join(open_.select("key", "node"), ["key", "node"], "left_semi")
+        told = saved(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "told")
+        waiting = told.join(open_.select("node"), "node", "left_semi")
         by_label = waiting.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
         main = by_label.groupBy("key").agg(F.max(F.struct("n", -F.col("weight"), "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        outside = saved(waiting.join(main, "key").where("label <> main").select("key", "node", "weight", "label"), "outside")
+        main = saved(main, "main")
+        outside = saved(waiting.join(main, "key").where("label <> main").drop("main", "labels"), "outside")
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS * MORE**turn))
-        chosen = outside.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("weight", "node", "label")).alias("p"))
-        pivots = saved(chosen.select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("other")), "pivots")
-        asked = told.join(pivots, "key").where("label <> other").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        chosen = outside.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("weight", "node", "label", "size", "prints")).alias("p"))
+        pivots = saved(chosen.select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("other"), F.col("p.size").alias("p_size"), F.col("p.prints").alias("p_prints")), "pivots")
+        # A group is dealt to SPREAD tasks, each of which sees all its pivots. The fingerprints are
+        # compared in the join itself: what they rule out makes no row.
+        dealt = told.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
+        asking = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        asked = dealt.join(asking, ["key", "part"]).where((F.col("label") != F.col("other")) & likely("size", "prints", "p_size", "p_prints", least)).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         asked = saved(asked, "candidates")
         if not asked.isEmpty():
             new = links(docs, heads, asked, least)
             if not new.isEmpty():
-                labels = joined(labels, new)
-        if pivots.count() == outside.count():  # the nodes of a bucket that were no pivot are in one component
+                before, labels = labels, joined(labels, new)
+                discard(before)
+            discard(new)
+        if pivots.count() == outside.count():  # the nodes of a group that were no pivot are in one component
+            discard(told, main, outside, pivots, asked)
             break
-        # Only buckets with pivots are still looked at.
-        rest = open_.join(pivots.select("key").distinct(), "key", "left_semi")
-        left = saved(rest.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), "open")
-        discard(told, outside, pivots, asked, *([] if open_ is large else [open_]))
+        # Only groups with pivots are still looked at.
+        rest = open_.select("key", "node").join(main, "key", "left_semi")
+        left = saved(rest.join(pivots.select(F.col("pivot").alias("node")), "node", "left_anti"), "open")
+        discard(told, main, outside, pivots, asked, *([] if open_ is large else [open_]))
         open_, turn = left, turn + 1
+    discard(large, *([] if open_ is large else [open_]))
     return labels
 
 
@@ -171,9 +240,12 @@ def representatives(docs: DataFrame, bucket: int = 64, least: int = LEAST) -> Da
     told = plain.where(F.col(own).isNotNull()).select(F.col(own).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
     prints = saved(printed(told), "prints")
     first = F.min(F.struct("doc_id", "digest")).alias("first")
-    heads = saved(prints.groupBy("node").agg(first).select("node", "first.*"), "heads")
-    labels = similar(told, heads, prints, bucket, least)
+    of = [F.first(c).alias(c) for c in ("size", "sketch", "prints")]  # one set, one value
+    heads = saved(prints.groupBy("node").agg(first, *of).select("node", "first.*", "size", "sketch", "prints"), "heads")
+    discard(prints)
+    labels = similar(told, heads, bucket, least)
     named = heads.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(first)
     stay = saved(named.select(F.col("first.doc_id").alias("_doc"), F.col("first.digest").alias("_digest")), "stay")
+    discard(heads, labels)
     kept = plain.join(stay, (F.col(own).cast("long") == F.col("_doc")) & (F.xxhash64(text) == F.col("_digest")), "left_semi").dropDuplicates([own, text])
     return kept.union(plain.where(F.col(own).isNull())).toDF(*names)

@@ -70,8 +70,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def segment_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the fingerprint, key) of all its keys."""
+def segment_keys(prints: np.ndarray, exact: int = 22) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the fingerprint, key) of all its keys, each with the lowest ``exact`` bits of its exact segment."""
     bits = prints.view(np.uint64)
     parts = [((bits >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     rows, out = [], []
@@ -79,7 +79,7 @@ def segment_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = golay.keys(parts[(i + 1) % len(SEGMENTS)])
         at, column = np.nonzero(near >= 0)
         rows.append(at)
-        out.append((np.int64(i) << 40) | (parts[i][at] << 12) | near[at, column])
+        out.append((np.int64(i) << 40) | ((parts[i][at] & ((1 << exact) - 1)) << 12) | near[at, column])
     return np.concatenate(rows), np.concatenate(out)
 
 
