@@ -3,9 +3,11 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline as C
 from tests.conftest import SF
-from webloom.llm import near_copies
+from webloom.llm import golay, near_copies
 
 
 def plain_set(text):
@@ -86,3 +88,24 @@ def test_rows_of_one_id_with_other_texts_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in near_copies.representatives(docs).collect())
     assert kept == [(0, "a b c d e f g"), (1, "a b c d e f g"), (1, "h i j k l m n"), (3, "o p q r s")]
+
+
+def test_candidates_come_from_simhash_and_golay_keys(spark, monkeypatch):
+    """Fingerprints are majorities; pairs at 0.8 meet by Golay keys with recall 0.99, unlike texts hardly ever."""
+    draw = np.random.default_rng(7)
+    sets = []
+    for _ in range(200):  # 160 of 200 hashes in common
+        both = draw.integers(0, 1 << 64, 200, dtype=np.uint64)
+        sets += [both[:180], both[20:]]
+    prints = np.array([near_copies.simhashes(s) for s in sets])
+    one = np.array([near_copies.simhashes(sets[0][k : k + 1]) for k in range(180)]).view(np.uint64)
+    bits = np.unpackbits(one.view(np.uint8).reshape(180, -1), axis=1, bitorder="little")
+    assert (np.packbits(2 * bits.sum(axis=0) > 180, bitorder="little").view(np.int64) == prints[0]).all()
+    nodes = spark.createDataFrame([(k, 180, int(p[-1]), p[:-1].tolist()) for k, p in enumerate(prints)], "node long, size int, sketch long, prints array<long>")
+    pairs, grouped = near_copies.buckets(nodes, 64, near_copies.LEAST)
+    met = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert len(met & {(2 * k, 2 * k + 1) for k in range(200)}) >= 198 and len(met) <= 202 and grouped.isEmpty()
+    pairs, grouped = near_copies.buckets(nodes, 1, near_copies.LEAST)  # large groups: one row a node
+    assert pairs.isEmpty() and grouped.count() == grouped.select("node").distinct().count() >= 396
+    monkeypatch.setattr(golay, "keys", lambda words: np.full((len(words), 6), -1))
+    assert not near_copies.segment_keys(prints[:, 0].copy())[0].size

@@ -15,6 +15,7 @@ without any). Repeated rows are scored each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,7 +96,10 @@ class Latent:
     prior: float
 
     def project(self, shares: np.ndarray) -> np.ndarray:
-        flat = (shares * self.weight) @ self.axes
+        return self.normed((shares * self.weight) @ self.axes)
+
+    @staticmethod
+    def normed(flat: np.ndarray) -> np.ndarray:
         return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-12)
 
     def score(self, shares: np.ndarray, neighbours: int, power: float, block: int = 2048) -> np.ndarray:
@@ -119,11 +123,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shares(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` and the term shares of ``text`` as float32 bytes."""
+    """Columns ``keep`` and the term shares of ``text`` as float32 bytes, deflated: most are zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([terms(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=[*keep, "shares"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([zlib.compress(terms(t).tobytes(), 1) for t in batch.column(0).to_pylist()], pa.binary())], names=[*keep, "shares"])
 
     own = docs.select("text", *keep)
     return own.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:]) + ", shares binary")
@@ -137,15 +141,17 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = 4000, rank: int = 64)
     found = shares(texts, ["doc_id", "quality"]).orderBy("doc_id", "quality").limit(most).collect()
     if not found:
         return Latent(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    matrix = np.stack([np.frombuffer(r["shares"], dtype=np.float32) for r in found])
+    # The driver holds one such matrix at a time.
+    matrix = np.stack([np.frombuffer(zlib.decompress(r["shares"]), dtype=np.float32) for r in found])
     y = np.array([r["quality"] for r in found], dtype=float)
+    del found
     weight = np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + 1
     for a, b, family in FAMILIES:
         weight[a:b] *= family
-    weighted = (matrix * weight).astype(np.float32)
-    _, axes = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
+    matrix *= weight
+    _, axes = np.linalg.eigh((matrix.T @ matrix).astype(np.float64))
     model = Latent(weight, np.ascontiguousarray(axes[:, ::-1][:, : min(rank, TERMS)]).astype(np.float32), np.zeros((0, 1)), y, float(y.mean()))
-    model.vectors = model.project(matrix).astype(np.float32)
+    model.vectors = model.normed(matrix @ model.axes).astype(np.float32)
     return model
 
 
