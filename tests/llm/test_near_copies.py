@@ -109,3 +109,30 @@ def test_candidates_come_from_simhash_and_golay_keys(spark, monkeypatch):
     assert pairs.isEmpty() and grouped.count() == grouped.select("node").distinct().count() >= 396
     monkeypatch.setattr(golay, "keys", lambda words: np.full((len(words), 6), -1))
     assert not near_copies.segment_keys(prints[:, 0].copy())[0].size
+
+
+def test_pairs_of_a_group_make_no_rows_in_small_buckets(spark, monkeypatch):
+    """A group of near copies is settled by its pivots alone; the pairs that are compared stay far below its square."""
+    draw = random.Random(11)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    rows = [(k, edited(words, draw.randrange(1, 5), draw)) for k in range(160)]  # copies of each other
+    rows += [(1000 + k, edited(words, 13, draw)) for k in range(80)]  # 0.6 to 0.7 to all others
+    asked, whole = [], near_copies.links
+
+    def counted(docs, heads, pairs, least=near_copies.LEAST):
+        asked.append(pairs.count())
+        return whole(docs, heads, pairs, least)
+
+    monkeypatch.setattr(near_copies, "links", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in near_copies.representatives(docs, bucket=16).collect()} == plain_kept(rows)
+    assert asked[0] < 400 and sum(asked) < 4000, asked
+
+
+def test_further_fingerprints_keep_pairs_at_the_limit():
+    draw = np.random.default_rng(3)
+    bits = lambda s: np.concatenate([near_copies.simhashes(s)[:-1], near_copies.simhashes(s, near_copies._OTHER_FLIP, near_copies._OTHER_TIMES)]).view(np.uint64)
+    for n, both in ((36, 32), (45, 40), (144, 128)):  # 0.8 each
+        for _ in range(40):
+            drawn = draw.integers(0, 1 << 64, 2 * n - both, dtype=np.uint64)
+            assert int(np.bitwise_count(bits(drawn[:n]) ^ bits(drawn[n - both :])).sum()) <= near_copies.DEEP

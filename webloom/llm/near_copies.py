@@ -14,11 +14,14 @@ chance meetings make no pairs. What is left goes to the exact similarity. The ke
 read in ``ROUNDS`` parts; only one part is on disk at a time.
 
 Buckets up to ``bucket`` nodes are compared pair by pair. The larger ones that nodes connect
-are one group, with one row a node, whatever the number of its buckets. A group goes
-through rounds of pivots, a query set that is compared with all its nodes: first the eight
-nodes that share most large buckets with others (the middle), then 32 times as many in
-each round, drawn from the nodes that are not yet linked to the group's largest component.
-It is done when all its nodes that were no pivot are in one component: then each pair in
+are one group, with one row a node, whatever the number of its buckets. A pair of one group
+that also meets in small buckets makes no row there: the group settles it. A group goes
+through rounds of pivots, a query set that is compared with all its nodes but former pivots:
+first the eight nodes that share most large buckets with others (the middle), then 32 times
+as many in each round, drawn from the nodes that are not yet linked to the group's largest
+component. Nodes of a group have 72 fingerprints more, compared inside the join where the
+24 agree (at most ``DEEP`` bits apart in all 96), since many pairs are only just too far
+apart for a link. A group is done when all its nodes that were no pivot are in one component: then each pair in
 different components has had a pivot in it, so none is missed. A group of copies collapses
 in the first rounds; only nodes similar to nothing else in their group are all compared.
 
@@ -49,6 +52,10 @@ FAR, WIDE, SMALL = 21, 310, 32
 _DRAWN = np.random.default_rng(SEED)
 _FLIP = _DRAWN.integers(0, 1 << 64, PRINTS + 1, dtype=np.uint64)
 _TIMES = _DRAWN.integers(0, 1 << 64, PRINTS + 1, dtype=np.uint64) | np.uint64(1)
+#: A node of a large group has so many fingerprints besides. In all 96, 931 of 6144 bits differ at similarity 0.8 (deviation 28).
+FURTHER, DEEP = 72, 1100
+_OTHER_FLIP = _DRAWN.integers(0, 1 << 64, FURTHER, dtype=np.uint64)
+_OTHER_TIMES = _DRAWN.integers(0, 1 << 64, FURTHER, dtype=np.uint64) | np.uint64(1)
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 _LANES = np.uint64(0x0101010101010101)
 #: Pivots of a group in the first round, and how many times more in each further one.
@@ -72,17 +79,17 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype=np.uint64))
 
 
-def simhashes(found: np.ndarray) -> np.ndarray:
-    """The 25 fingerprints of a set; a bit is 1 if set in over half of the mixed hashes."""
-    ones = np.zeros((PRINTS + 1, 8, 8), np.int64)  # by byte and bit
+def simhashes(found: np.ndarray, flip: np.ndarray = _FLIP, times: np.ndarray = _TIMES) -> np.ndarray:
+    """The 25 fingerprints of a set, or those of other mixings; a bit is 1 if set in over half of the mixed hashes."""
+    ones = np.zeros((len(flip), 8, 8), np.int64)  # by byte and bit
     for at in range(0, len(found), 255):  # a lane of 8 bits counts to 255
-        mixed = (found[at : at + 255, None] ^ _FLIP) * _TIMES
+        mixed = (found[at : at + 255, None] ^ flip) * times
         mixed ^= mixed >> np.uint64(32)
         mixed *= _PRIME
         mixed ^= mixed >> np.uint64(29)
         for bit in range(8):
             lanes = ((mixed >> np.uint64(bit)) & _LANES).sum(axis=0, dtype=np.uint64)
-            ones[:, :, bit] += lanes.astype("<u8").view(np.uint8).reshape(PRINTS + 1, 8)
+            ones[:, :, bit] += lanes.astype("<u8").view(np.uint8).reshape(len(flip), 8)
     return np.packbits(2 * ones > len(found), axis=2, bitorder="little").reshape(-1).view("<u8").astype(np.uint64).view(np.int64)
 
 
@@ -136,28 +143,77 @@ def likely(size: str, prints: str, other: str, those: str, least: int) -> Column
     return alike if least >= LEAST else F.lit(True)
 
 
+def close(size: str, prints: str, others: str, other: str, those: str, further: str, least: int) -> Column:
+    """``likely`` by all fingerprints of two nodes of a group; the further ones are read only where the first ones agree."""
+    if least < LEAST:
+        return F.lit(True)
+    apart_ = apart(prints, those) + F.aggregate(F.zip_with(others, further, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, b: n + b)
+    return likely(size, prints, other, those, least) & ((F.least(size, other) < SMALL) | (apart_ <= DEEP))
+
+
+def _grown(groups: DataFrame | None, large: DataFrame) -> DataFrame:
+    """Saved (node, label) of the groups so far, joined and extended by the large buckets of another part."""
+    own = large.select(F.min("hub").over(Window.partitionBy("node")).alias("a"), "hub", "node")  # a node and its hubs hang on the least of these
+    edges = own.select("a", F.col("node").alias("b")).union(own.select("a", "hub")).distinct()
+    if groups is None:
+        return saved(components(edges), "groups")
+    if large.isEmpty():
+        return groups
+    out = saved(components(edges.union(groups.select("label", "node"))), "groups")
+    discard(groups)
+    return out
+
+
+def _team(rows: DataFrame, groups: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the group of the node as ``team``, null without one."""
+    if groups.isEmpty():
+        return rows.withColumn("team", F.lit(None).cast("long"))
+    return rows.join(groups.withColumnRenamed("label", "team"), on, "left")
+
+
+def _strangers(one: str, two: str) -> Column:
+    """Pairs of one group are left to its pivots."""
+    return ~F.coalesce(F.col(one) == F.col(two), F.lit(False))
+
+
+def furthered(docs: DataFrame, heads: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``grouped`` with the further fingerprints of each node as ``others``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([simhashes(shingles(t), _OTHER_FLIP, _OTHER_TIMES) for t in batch.column(1).to_pylist()])], names=["node", "others"])
+
+    asked = saved(heads.join(grouped.select("node"), "node").select("node", "doc_id", "digest"), "asked")
+    found = docs.join(asked, ["doc_id", "digest"]).select("node", "text").mapInArrow(run, "node long, others array<long>").dropDuplicates(["node"])
+    out = saved(grouped.join(found, "node"), "grouped")
+    discard(grouped, asked)
+    return out
+
+
 def buckets(nodes: DataFrame, bucket: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) of nodes of small buckets; (key, node, weight, size, prints) of large ones, one row a node:
+    """Distinct pairs (a, b) of nodes of small buckets, unless one group has both; (key, node, weight, size, prints) of large ones, one row a node:
     key is the group of all nodes that large buckets connect, weight tells how often others share one with the node."""
-    pairs, large = [], []
+    pairs, large, groups = [], [], None
     for turn in range(ROUNDS):
         keys = keyed(nodes, turn * PRINTS // ROUNDS, (turn + 1) * PRINTS // ROUNDS)
         same = Window.partitionBy("key")
         met = saved(keys.withColumns({"n": F.count(F.lit(1)).over(same), "hub": F.min("node").over(same)}).where("n > 1"), "met")
-        few = met.where(F.col("n") <= bucket)
-        a, b = (few.select("key", F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
-        near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= FAR)
-        pairs.append(saved(a.join(b.hint("merge"), "key").where(near).select("a", "b").distinct(), "candidates"))
         large.append(saved(met.where(F.col("n") > bucket).groupBy("hub", "node").agg(F.sum("n").alias("n")), "large"))
+        groups = _grown(groups, large[-1])
+        few = _team(met.where(F.col("n") <= bucket).select("key", "node", "sketch"), groups, "node")
+        a, b = (few.select("key", F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("team").alias(f"{c}_team")) for c in "ab")
+        near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= FAR)
+        pairs.append(saved(a.join(b.hint("merge"), "key").where(near & _strangers("a_team", "b_team")).select("a", "b").distinct(), "candidates"))
         discard(met)
-    one, two = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("prints").alias(f"{c}_prints")) for c in "ab")
-    asked = reduce(DataFrame.union, pairs).distinct().join(one, "a").join(two, "b").where(likely("a_size", "a_prints", "b_size", "b_prints", least)).select("a", "b")
+    teamed = _team(nodes.select("node", "size", "prints"), groups, "node")
+    one, two = (teamed.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("prints").alias(f"{c}_prints"), F.col("team").alias(f"{c}_team")) for c in "ab")
+    wanted = likely("a_size", "a_prints", "b_size", "b_prints", least) & _strangers("a_team", "b_team")
+    asked = reduce(DataFrame.union, pairs).distinct().join(one, "a").join(two, "b").where(wanted).select("a", "b")
     asked = saved(asked, "candidates")
     many = reduce(DataFrame.union, large)
-    groups = components(many.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "key")
     weights = many.groupBy("node").agg(F.sum("n").alias("weight"))
-    grouped = saved(nodes.join(weights, "node").join(groups, "node").select("key", "node", "weight", "size", "prints"), "grouped")
-    discard(*pairs, *large)
+    grouped = saved(nodes.join(weights, "node").join(groups.withColumnRenamed("label", "key"), "node").select("key", "node", "weight", "size", "prints"), "grouped")
+    discard(*pairs, *large, groups)
     return asked, grouped
 
 
@@ -176,9 +232,11 @@ def joined(labels: DataFrame, new: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, heads: DataFrame, bucket: int, least: int) -> DataFrame:
     """(node, label) of all nodes that are linked to others."""
     pairs, large = buckets(heads, bucket, least)
-    close = links(docs, heads, pairs, least)
-    labels = saved(components(close), "labels")
-    discard(pairs, close)
+    met = links(docs, heads, pairs, least)
+    labels = saved(components(met), "labels")
+    discard(pairs, met)
+    if not large.isEmpty():
+        large = furthered(docs, heads, large)
     # Nodes of large buckets that were no pivot yet.
     open_, turn = large, 0
     while not open_.isEmpty():
@@ -189,13 +247,13 @@ def similar(docs: DataFrame, heads: DataFrame, bucket: int, least: int) -> DataF
         main = saved(main, "main")
         outside = saved(waiting.join(main, "key").where("label <> main").drop("main", "labels"), "outside")
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS * MORE**turn))
-        chosen = outside.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("weight", "node", "label", "size", "prints")).alias("p"))
-        pivots = saved(chosen.select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("other"), F.col("p.size").alias("p_size"), F.col("p.prints").alias("p_prints")), "pivots")
+        chosen = outside.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("weight", "node", "label", "size", "prints", "others")).alias("p"))
+        pivots = saved(chosen.select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("other"), F.col("p.size").alias("p_size"), F.col("p.prints").alias("p_prints"), F.col("p.others").alias("p_others")), "pivots")
         # A group is dealt to SPREAD tasks, each of which sees all its pivots. The fingerprints are
         # compared in the join itself: what they rule out makes no row.
-        dealt = told.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
+        dealt = waiting.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
         asking = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-        asked = dealt.join(asking, ["key", "part"]).where((F.col("label") != F.col("other")) & likely("size", "prints", "p_size", "p_prints", least)).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        asked = dealt.join(asking, ["key", "part"]).where((F.col("label") != F.col("other")) & close("size", "prints", "others", "p_size", "p_prints", "p_others", least)).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         asked = saved(asked, "candidates")
         if not asked.isEmpty():
             new = links(docs, heads, asked, least)
